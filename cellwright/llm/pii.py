@@ -67,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 floor = m.end()
         at = text.find("@", max(at + 1, floor))
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and _luhn(digits):
