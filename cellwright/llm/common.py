@@ -7,7 +7,7 @@ import sys
 import numpy as np
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import cellwright
@@ -34,6 +34,13 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rows).head(1)) else df
 
 
+def arrow_batches(spark: SparkSession, rows: int = 2_000, megabytes: int = 32) -> None:
+    """Bound the batches that Python functions get, unless the session sets its own bounds."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words seen before; memory is bounded by ``most`` entries."""
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from cellwright.llm.htmltext import op2_html
+from cellwright.llm.licences import op6_licences
 from cellwright.llm.mixing import op8_mixing
 from cellwright.llm.pii import op1_pii
 from cellwright.llm.quality import op9_quality
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op8_mixing": op8_mixing, "op9_quality": op9_quality}
+    return {"op1_pii": op1_pii, "op2_html": op2_html, "op6_licences": op6_licences, "op8_mixing": op8_mixing, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
