@@ -7,6 +7,7 @@ from cellwright.llm.htmltext import op2_html
 from cellwright.llm.langid import op7_langid
 from cellwright.llm.licences import op6_licences
 from cellwright.llm.mixing import op8_mixing
+from cellwright.llm.neardup import op3_neardup
 from cellwright.llm.pii import op1_pii
 from cellwright.llm.quality import op9_quality
 from cellwright.llm.secrets import op10_secrets
@@ -15,8 +16,8 @@ from cellwright.llm.substrings import op4_substrings
 
 def queries() -> dict:
     return {
-        "op1_pii": op1_pii, "op2_html": op2_html, "op4_substrings": op4_substrings, "op5_decontaminate": op5_decontaminate, "op6_licences": op6_licences, "op7_langid": op7_langid,
-        "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_secrets": op10_secrets,
+        "op1_pii": op1_pii, "op2_html": op2_html, "op3_neardup": op3_neardup, "op4_substrings": op4_substrings, "op5_decontaminate": op5_decontaminate,
+        "op6_licences": op6_licences, "op7_langid": op7_langid, "op8_mixing": op8_mixing, "op9_quality": op9_quality, "op10_secrets": op10_secrets,
     }
 
 

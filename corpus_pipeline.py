@@ -1,10 +1,15 @@
-"""A training-corpus pipeline: each stage's rows are stored and read again by the next."""
+"""A training-corpus pipeline over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are
+stored and read again as the next one's ``docs``. All but the last return the
+columns of documents; the last adds the copy and the training position.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm import quality
+from cellwright.llm import decontaminate, mixing, neardup, quality, secrets
 from cellwright.sources.scratch import materialise
 
 
@@ -13,7 +18,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return neardup.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold benchmark items."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts."""
+    return secrets.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training set: copies of the documents in curriculum order."""
+    return mixing.curriculum(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scan", secret_scan),
+    ("source mix", source_mix),
+]
 
 #: SQL can't express the stages.
 ORACLE_SQL = None
