@@ -1,9 +1,236 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each beside its DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellwright.functions import aggregates as A
+from cellwright.functions import scalar as S
+from cellwright.operators import kv, relational, scan, stats
+from cellwright.operators.scan import Ordering, ValueRange, exclusive, inclusive
+from cellwright.plans.expr import compile_expr
+from cellwright.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Nine rows of a three-valued truth table.
+_TRUTH_SQL = (
+    "(select o_orderkey i, case o_orderkey%3 when 0 then true when 1 then false end x, case (o_orderkey//3)%3 when 0 then true when 1 then false end y"
+    " from orders where o_orderkey<9) B")
+
+
+def query(name: str, sql: str):
+    """Register a function of a table reader (name -> DataFrame) as query ``name``."""
+
+    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        _QUERIES[name] = lambda spark, folder: f(lambda t: table(spark, folder, t))
+        _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _each(base: Callable, made: dict[str, tuple[Callable[[DataFrame], DataFrame], str]]) -> None:
+    for name, (f, sql) in made.items():
+        query(name, sql)(lambda t, f=f: f(base(t)))
+
+
+def _truth(t) -> DataFrame:
+    return t("orders").where("o_orderkey < 9").selectExpr(
+        "o_orderkey as i", "case o_orderkey % 3 when 0 then true when 1 then false end as x", "case (o_orderkey div 3) % 3 when 0 then true when 1 then false end as y")
+
+
+# scans and lookups
+
+_each(lambda t: t("orders"), {
+    "src_scan_all": (lambda df: scan.scan_all(df, "o_orderkey", ["o_orderkey", "o_totalprice"]), "select o_orderkey,o_totalprice from orders"),
+    "src_range_incl": (lambda df: scan.range_index_scan(df, "o_orderkey", "o_orderkey", ValueRange(inclusive(5), inclusive(515))), "select * from orders where o_orderkey between 5 and 515"),
+    "src_range_excl": (lambda df: scan.range_index_scan(df, "o_orderkey", "o_orderkey", ValueRange(exclusive(5), exclusive(515))), "select * from orders where o_orderkey>5 and o_orderkey<515"),
+    "src_range_excl_start": (lambda df: scan.range_index_scan(df, "o_orderkey", "o_orderkey", ValueRange(exclusive(5), inclusive(515))), "select * from orders where o_orderkey>5 and o_orderkey<=515"),
+    "src_range_excl_end": (lambda df: scan.range_index_scan(df, "o_orderkey", "o_orderkey", ValueRange(inclusive(5), exclusive(515))), "select * from orders where o_orderkey>=5 and o_orderkey<515"),
+    "src_range_open_start": (lambda df: scan.range_index_scan(df, "o_orderkey", "o_orderkey", ValueRange(end=inclusive(515))), "select * from orders where o_orderkey<=515"),
+    "src_range_open_end": (lambda df: scan.range_index_scan(df, "o_orderkey", "o_orderkey", ValueRange(start=inclusive(1400))), "select * from orders where o_orderkey>=1400"),
+    "src_range_ordered": (
+        lambda df: scan.range_index_scan(df, "o_orderkey", "o_custkey", ValueRange(inclusive(3), exclusive(90)), ["o_custkey", "o_orderkey"], ordering=Ordering.FORWARD),
+        "select o_custkey,o_orderkey from orders where o_custkey>=3 and o_custkey<90 order by 1,2"),
+    "src_scan_backward": (lambda df: scan.scan_all(df, "o_orderkey", ["o_orderkey"], "(< o_orderkey 700)", ordering=Ordering.BACKWARD), "select o_orderkey from orders where o_orderkey<700 order by 1 desc"),
+    "src_range_desc_topk": (
+        lambda df: scan.seek(df, "o_orderkey", "o_orderkey", ValueRange(inclusive(5), inclusive(515)), Ordering.BACKWARD, 64).select("o_orderkey"),
+        "select o_orderkey from orders where o_orderkey between 5 and 515 order by 1 desc limit 64"),
+    "src_seek_next_block": (
+        lambda df: scan.seek(df, "o_custkey", "o_orderkey", ValueRange(inclusive(2)), Ordering.FORWARD, 64, after=(40, 500)).select("o_custkey", "o_orderkey"),
+        "select o_custkey,o_orderkey from orders where o_custkey>=2 and (o_custkey>40 or o_custkey=40 and o_orderkey>500) order by 1,2 limit 64"),
+    "src_point_read": (lambda df: scan.read_cell(df, "o_orderkey", 42), "select * from orders where o_orderkey=42"),
+    "src_multi_get": (
+        lambda df: scan.read_all_cells(df, "o_orderkey", [7, 3, 99999999], ["o_totalprice"]),
+        "select v.pos::int pos, v.k::bigint o_orderkey, o_totalprice from (values (0,7),(1,3),(2,99999999)) v(pos,k) left join orders on o_orderkey=v.k"),
+    "src_multi_get_proc": (
+        lambda df: scan.read_all_cells(df, "o_orderkey", [7, 3, 7, 12], selection="(> o_orderkey 5)", processing="(+ o_orderkey o_custkey)"),
+        "select v.pos::int pos, v.k::bigint o_orderkey, o_orderkey+o_custkey as value from (values (0,7),(1,3),(2,7),(3,12)) v(pos,k) left join (select * from orders where o_orderkey>5) on o_orderkey=v.k"),
+    "src_merge_runs": (
+        lambda df: scan.merge_runs([df.where("o_orderkey % 3 = 0"), df.where("o_orderkey % 3 = 1")], ["o_orderkey"], df.where("o_orderkey % 4 = 0")).select("o_orderkey"),
+        "select o_orderkey from orders where o_orderkey%3 in (0,1) and o_orderkey%4<>0"),
+    "proj_proc_add": (lambda df: scan.scan_all(df, "o_orderkey", processing="(+ o_orderkey (i64 o_custkey))"), "select o_orderkey, o_orderkey+o_custkey as value from orders"),
+    "flt_and_range": (
+        lambda df: scan.scan_all(df, "o_orderkey", ["o_orderkey"], "(and (>= o_orderkey 10i64) (< o_orderkey 100i64))"), "select o_orderkey from orders where o_orderkey>=10 and o_orderkey<100"),
+    "flt_or_points": (
+        lambda df: scan.scan_all(df, "o_orderkey", ["o_orderkey"], "(or (= o_orderkey 100i64) (= o_orderkey 1000i64))"), "select o_orderkey from orders where o_orderkey=100 or o_orderkey=1000"),
+    "bool_null_if_mask": (
+        lambda df: df.select("o_orderkey", S.null_if("o_totalprice", F.col("o_orderkey") < 100).alias("r")),
+        "select o_orderkey,case when not coalesce(o_orderkey<100,false) then o_totalprice end r from orders"),
+    "ord_limit": (lambda df: relational.limit(df.orderBy("o_orderkey"), 10), "select * from orders order by o_orderkey limit 10"),
+    "ord_sort_asc": (
+        lambda df: relational.limit(relational.sort_asc(df.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("v")), "v", "o_orderkey"), 700),
+        "select o_orderkey,v from (select o_orderkey,case when o_orderkey%3<>0 then o_custkey end v from orders) order by v asc nulls first,o_orderkey limit 700"),
+    "ord_sort_desc": (
+        lambda df: relational.limit(relational.sort_desc(df.select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("v")), "v", "o_orderkey"), 700),
+        "select o_orderkey,v from (select o_orderkey,case when o_orderkey%3<>0 then o_custkey end v from orders) order by v desc nulls first,o_orderkey limit 700"),
+    "ord_top_k": (
+        lambda df: relational.top_k(df.select("o_custkey", "o_orderkey"), 25, F.col("o_custkey").desc(), "o_orderkey"),
+        "select o_custkey,o_orderkey from orders order by o_custkey desc,o_orderkey limit 25"),
+    "stat_schema": (
+        lambda df: stats.column_ranges(df, "o_orderkey").withColumnsRenamed({"o_orderkey_lo": "lo", "o_orderkey_hi": "hi"}), "select count(*) cnt,min(o_orderkey) lo,max(o_orderkey) hi from orders"),
+    "stat_equi_depth_hist": (
+        lambda df: stats.equi_depth_keys(df, "o_orderkey"),
+        "select rn::bigint rn,o_orderkey k from (select o_orderkey,row_number() over(order by o_orderkey)-1 rn,count(*) over() n from orders) where (rn%(n//100)=0 and rn<100*(n//100)) or rn=n-1"),
+})
+
+query("src_count", "select count(*) n from lineitem")(lambda t: scan.count(t("lineitem")))
+query("src_make_source", "select range as v from range(10)")(lambda t: relational.make_source(t("region").sparkSession, range(10)))
+query("src_repeat", "select 7::bigint v from range(64)")(lambda t: relational.repeat(t("region").sparkSession, 7, 64))
+query("src_array_index_lookup", "select vec_id from embeddings where len(list_filter(embedding,lambda x: x>0.35))>0")(
+    lambda t: scan.array_index_scan(t("embeddings"), "embedding", ValueRange(exclusive(F.lit(0.35)))).select("vec_id"))
+query("src_hash_index_eq", "select c_custkey from customer where c_mktsegment='MACHINERY'")(
+    lambda t: scan.hash_index_lookup(t("customer"), "c_mktsegment", "MACHINERY").select("c_custkey"))
+query("proj_nested", "select c_custkey,c_acctbal from customer")(
+    lambda t: scan.project(t("customer").select(F.struct("c_custkey", F.struct("c_acctbal").alias("sub")).alias("s")), ["s.c_custkey", "s.sub.c_acctbal"]))
+query("proj_dynamic", "select event_id, (props->>'$.k')::bigint k from events")(
+    lambda t: t("events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k")))
+query("proj_to_vec", "select try_cast(c_mktsegment as integer) c_mktsegment from customer")(lambda t: relational.to_vec(t("customer"), "c_mktsegment", "int"))
+query("flt_mask", "select l_orderkey,l_quantity from lineitem where l_quantity>45")(
+    lambda t: relational.filter_by(t("lineitem"), F.col("l_quantity") > 45).select("l_orderkey", "l_quantity"))
+query("ord_take", "select v.pos::int pos, v.k::bigint o_orderkey, o_custkey from (values (0,9),(1,2),(2,9)) v(pos,k) left join orders on o_orderkey=v.k")(
+    lambda t: relational.take(t("orders").select("o_orderkey", "o_custkey"), t("orders").sparkSession.createDataFrame([(0, 9), (1, 2), (2, 9)], "pos int, o_orderkey long"), "pos", "o_orderkey").select("pos", "o_orderkey", "o_custkey"))
+
+# joins and groups
+
+query("join_natural", "select c_custkey,n_name from customer join nation on c_nationkey=n_nationkey")(
+    lambda t: relational.natural_join(t("customer").withColumnRenamed("c_nationkey", "n_nationkey"), t("nation")).select("c_custkey", "n_name"))
+query("join_by_cogroup", "select k,count(*) n_rows from (select n_regionkey k from nation union all select r_regionkey from region) group by k")(
+    lambda t: relational.join_by_count([t("nation").select(F.col("n_regionkey").alias("k")), t("region").select(F.col("r_regionkey").alias("k"))], ["k"]))
+query("join_by_lists", "select k, string_agg(n, ',' order by n) as names from (select n_regionkey k, n_name n from nation union all select r_regionkey, r_name from region) group by k")(
+    lambda t: relational.join_by([t("nation").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("n")), t("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("n"))], ["k"])
+    .select("k", F.array_join(F.array_sort(F.transform("rows", lambda r: r["n"])), ",").alias("names")))
+query("join_by_inner", "select c_mktsegment,count(*) n from orders join customer on o_custkey=c_custkey group by 1")(
+    lambda t: relational.join_by_inner(t("orders"), t("customer"), [("o_custkey", "c_custkey")]).groupBy("c_mktsegment").agg(A.count().alias("n")))
+query("grp_group_by_list", "select n_regionkey,string_agg(n_name,',' order by n_name) names from nation group by 1")(
+    lambda t: relational.group_by(t("nation"), "n_name", "n_regionkey", order="n_name").select("n_regionkey", F.array_join("n_name", ",").alias("names")))
+query("grp_multi_key", "select l_returnflag,l_linestatus,count(*) n from lineitem group by 1,2")(
+    lambda t: t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(A.count().alias("n")))
+query("set_concat", "select n_name as name from nation union all select r_name from region")(
+    lambda t: relational.concat(t("nation").select(F.col("n_name").alias("name")), t("region").select(F.col("r_name").alias("name"))))
+
+# aggregates and arithmetic
+
+_half = lambda df: df.select(F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("q"))
+_each(lambda t: t("lineitem"), {
+    "agg_count": (lambda df: _half(df).agg(A.count("q").alias("n")), "select count(*) n from (select case when l_quantity>25 then l_quantity end q from lineitem)"),
+    "agg_sum": (lambda df: df.groupBy("l_returnflag").agg(A.sum("l_quantity").alias("s")), "select l_returnflag,sum(l_quantity) s from lineitem group by 1"),
+    "agg_sum_int": (lambda df: df.groupBy("l_returnflag").agg(A.sum_same_type("l_linenumber", "int").alias("s")), "select l_returnflag,sum(l_linenumber)::int s from lineitem group by 1"),
+    "agg_sum_empty": (lambda df: df.where("l_quantity < 0").agg(A.sum("l_quantity").alias("s")), "select sum(l_quantity) s from lineitem where l_quantity<0"),
+    "agg_max": (lambda df: df.agg(A.max("l_extendedprice").alias("m"), A.max("l_returnflag").alias("ms")), "select max(l_extendedprice) m,max(l_returnflag) ms from lineitem"),
+    "agg_min": (lambda df: df.agg(A.min("l_extendedprice").alias("m"), A.min("l_returnflag").alias("ms")), "select min(l_extendedprice) m,min(l_returnflag) ms from lineitem"),
+    "agg_max_bool": (lambda df: df.groupBy("l_returnflag").agg(A.max(F.col("l_quantity") > 49).alias("b")), "select l_returnflag,bool_or(l_quantity>49) b from lineitem group by 1"),
+    "agg_all": (lambda df: df.groupBy("l_returnflag").agg(A.all(F.col("l_quantity") > 0).alias("b")), "select l_returnflag,bool_and(l_quantity>0) b from lineitem group by 1"),
+    "agg_any": (lambda df: df.groupBy("l_returnflag").agg(A.any(F.col("l_quantity") > 49).alias("b")), "select l_returnflag,bool_or(l_quantity>49) b from lineitem group by 1"),
+    "agg_avg": (lambda df: df.groupBy("l_returnflag").agg(A.avg("l_quantity").alias("a")), "select l_returnflag,avg(l_quantity) a from lineitem group by 1"),
+    "agg_avg_all_rows": (lambda df: _half(df).agg(A.avg_all_rows("q").alias("a")), "select sum(q)/count(*) a from (select case when l_quantity>25 then l_quantity end q from lineitem)"),
+    "agg_avg_partial": (
+        lambda df: df.groupBy("l_suppkey").agg(A.avg_partial("l_quantity").alias("p")).agg(A.avg_merge("p").alias("p")).select("p.s", "p.c"), "select sum(l_quantity) s, count(*)::bigint c from lineitem"),
+    "agg_avg_final": (
+        lambda df: df.groupBy("l_suppkey").agg(A.avg_partial("l_quantity").alias("p")).agg(A.avg_merge("p").alias("p")).select(A.avg_final("p").alias("a")), "select sum(l_quantity)/count(*) a from lineitem"),
+    "cmp_eq": (lambda df: df.where(S.eq("l_returnflag", F.lit("A"))).select("l_orderkey"), "select l_orderkey from lineitem where l_returnflag='A'"),
+    "cmp_neq": (lambda df: df.where(S.not_eq("l_returnflag", F.lit("A"))).select("l_orderkey"), "select l_orderkey from lineitem where l_returnflag<>'A'"),
+    "cmp_gt_vec": (lambda df: df.where(S.gt("l_partkey", "l_orderkey")).select("l_orderkey"), "select l_orderkey from lineitem where l_partkey>l_orderkey"),
+    "num_add": (lambda df: df.select("l_orderkey", compile_expr("(+ l_partkey l_suppkey l_orderkey)").alias("r")), "select l_orderkey,l_partkey+l_suppkey+l_orderkey r from lineitem"),
+    "num_sub": (lambda df: df.select("l_orderkey", compile_expr("(- l_partkey l_suppkey)").alias("r")), "select l_orderkey,l_partkey-l_suppkey r from lineitem"),
+    "num_div_int": (lambda df: df.select("l_orderkey", compile_expr("(div l_partkey (+ l_suppkey 1i64))").alias("r")), "select l_orderkey,l_partkey//(l_suppkey+1) r from lineitem"),
+    "num_div_float": (lambda df: df.select("l_orderkey", compile_expr("(/ l_extendedprice l_quantity)").alias("r")), "select l_orderkey,l_extendedprice/l_quantity r from lineitem"),
+    "num_mul": (lambda df: df.select("l_orderkey", compile_expr("(* l_quantity l_discount)").alias("r")), "select l_orderkey,l_quantity*l_discount r from lineitem"),
+    "num_rem": (lambda df: df.select("l_orderkey", S.rem("l_partkey", F.lit(7)).alias("r")), "select l_orderkey,l_partkey%7 r from lineitem"),
+    "flagship_scan_group": (
+        lambda df: df.where("l_shipdate <= timestamp'1998-09-02'").groupBy("l_returnflag", "l_linestatus")
+        .agg(A.sum("l_quantity").alias("sum_qty"), A.avg("l_quantity").alias("avg_qty"), A.max("l_extendedprice").alias("max_price"), A.count().alias("n"))
+        .orderBy("l_returnflag", "l_linestatus").limit(100),
+        "select l_returnflag,l_linestatus,sum(l_quantity) sum_qty,avg(l_quantity) avg_qty,max(l_extendedprice) max_price,count(*) n"
+        " from lineitem where l_shipdate<=timestamp '1998-09-02' group by 1,2 order by 1,2 limit 100"),
+})
+query("num_neg", "select c_custkey,-c_acctbal r from customer")(lambda t: t("customer").select("c_custkey", S.negate("c_acctbal").alias("r")))
+
+# three-valued logic
+
+_strict = "case when x is not null and y is not null then x {0} y end"
+_each(_truth, {
+    "bool_and": (lambda b: b.select("i", S.and_("x", "y").alias("r")), f"select i,(x and y) r from {_TRUTH_SQL}"),
+    "bool_and_strict": (lambda b: b.select("i", S.and_strict("x", "y").alias("r")), f"select i,{_strict.format('and')} r from {_TRUTH_SQL}"),
+    "bool_or": (lambda b: b.select("i", S.or_("x", "y").alias("r")), f"select i,(x or y) r from {_TRUTH_SQL}"),
+    "bool_or_strict": (lambda b: b.select("i", S.or_strict("x", "y").alias("r")), f"select i,{_strict.format('or')} r from {_TRUTH_SQL}"),
+    "bool_not": (lambda b: b.select("i", S.not_("x").alias("r")), f"select i,not x r from {_TRUTH_SQL}"),
+    "bool_and_not": (lambda b: b.select("i", S.and_not("x", "y").alias("r")), f"select i,(x and not y) r from {_TRUTH_SQL}"),
+    "bool_xor": (lambda b: b.select("i", S.xor("x", "y").alias("r")), f"select i,(x<>y) r from {_TRUTH_SQL}"),
+    "bool_is_null": (lambda b: b.select("i", S.is_null("x").alias("r")), f"select i,x is null r from {_TRUTH_SQL}"),
+    "bool_not_null": (lambda b: b.select("i", S.is_not_null("x").alias("r")), f"select i,x is not null r from {_TRUTH_SQL}"),
+})
+
+# comparisons and strings
+
+_each(lambda t: t("part"), {
+    "cmp_gte": (lambda df: df.where(S.gt_eq("p_size", 25)).select("p_partkey"), "select p_partkey from part where p_size>=25"),
+    "cmp_lt": (lambda df: df.where(S.lt("p_size", 25)).select("p_partkey"), "select p_partkey from part where p_size<25"),
+    "cmp_lte_str": (lambda df: df.where(S.lt_eq("p_brand", F.lit("Brand#2"))).select("p_partkey"), "select p_partkey from part where p_brand<='Brand#2'"),
+    "str_like": (lambda df: df.where(S.like("p_name", "%wid_et")).select("p_partkey"), "select p_partkey from part where p_name like '%wid_et'"),
+    "str_not_like": (lambda df: df.where(S.not_like("p_name", "%wid_et")).select("p_partkey"), "select p_partkey from part where p_name not like '%wid_et'"),
+    "str_pred_declared": (
+        lambda df: df.select(
+            "p_partkey", S.string_to_upper("p_name").alias("u"), S.string_to_lower("p_name").alias("l"), S.string_length("p_name").alias("n"), S.substring("p_name", 1, 3).alias("s"),
+            S.is_in("p_type", ["PROMO", "ECONOMY"]).alias("i")),
+        "select p_partkey,upper(p_name) u,lower(p_name) l,length(p_name)::int n,substr(p_name,1,3) s,p_type in ('PROMO','ECONOMY') i from part"),
+    "str_classes": (
+        lambda df: df.select(
+            "p_partkey", S.string_matches("p_brand", "#[12]").alias("m"), S.string_is_digit(F.substring("p_brand", 7, 2)).alias("d"), S.string_is_upper_case("p_type").alias("u"),
+            S.string_is_lower_case("p_name").alias("l"), S.string_is_space(F.substring("p_name", 1, 1)).alias("s"), S.index_in("p_type", ["PROMO", "ECONOMY"]).cast("int").alias("x"),
+            S.can_cast(F.substring("p_brand", 7, 2), "int").alias("c")),
+        "select p_partkey,regexp_matches(p_brand,'#[12]') m,regexp_full_match(substr(p_brand,7,2),'[0-9]+') d,(p_type=upper(p_type) and regexp_matches(p_type,'[A-Z]')) u,"
+        "(p_name=lower(p_name) and regexp_matches(p_name,'[a-z]')) l,regexp_full_match(substr(p_name,1,1),'\\s+') s,(case p_type when 'PROMO' then 0 when 'ECONOMY' then 1 end)::int x,"
+        "(try_cast(substr(p_brand,7,2) as int) is not null) c from part"),
+    "str_concat": (lambda df: df.select("p_partkey", S.concat("p_brand", F.lit("/"), "p_type").alias("r")), "select p_partkey,p_brand||'/'||p_type r from part"),
+})
+
+# records by key: the log is events, keyed by user
+
+_each(lambda t: t("events"), {
+    "kv_latest": (
+        lambda df: kv.latest(df.select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).drop("ts"),
+        "select user_id,event_id,event_type from events qualify row_number() over(partition by user_id order by ts desc,event_id desc)=1"),
+    "kv_live_after_remove": (
+        lambda df: kv.latest(df.select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", "event_id"),
+        "select user_id,event_id from (select *,row_number() over(partition by user_id order by ts desc,event_id desc) rn from events) where rn=1 and event_type<>'error'"),
+    "kv_head": (
+        lambda df: df.groupBy("user_id").agg(F.count(F.lit(1)).alias("version"), F.max("ts").alias("ts")), "select user_id,count(*) as version,max(ts) as ts from events group by 1"),
+})
+_keyed = lambda t: (t("customer").select("c_custkey"), t("orders").where("o_orderkey < 500").select(F.col("o_custkey").alias("c_custkey")))
+query("kv_insert_if_absent", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey<500)")(lambda t: kv.insert_if_absent(_keyed(t)[1], _keyed(t)[0], "c_custkey"))
+query("kv_update_existing", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_orderkey<500)")(lambda t: kv.update_existing(_keyed(t)[1], _keyed(t)[0], "c_custkey"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
