@@ -9,10 +9,10 @@ longer prefixes, so the depth adapts to the region. Candidates whose signatures
 agree too little are dropped; the threshold lies four standard errors below the
 similarity asked for.
 
-Links are confirmed on full sets. Candidates that agree strongly are first
-clustered, and each class is compared with its cluster's centre; then every
-candidate whose ends are still apart is compared itself. Connected components of
-the confirmed links, by contraction, give the result.
+Links are confirmed on full sets. Candidates are first clustered, and each class
+is compared with its cluster's centre; then every candidate whose ends are still
+apart is compared itself. Connected components of the confirmed links, by
+contraction, give the result.
 
 Defined results: null or blank text has no shingles and is linked with nothing;
 shorter texts are one shingle; a null id never becomes a component's id unless
@@ -41,8 +41,6 @@ TREES = 16
 DEPTH = 8
 LEAST_DEPTH = 3
 NEIGHBOURS = 6
-#: Signature agreement above which a candidate pair is put in one cluster before it is confirmed.
-STRONG = 0.88
 #: Documents compared with one copy of a centre's text.
 COMPARED = 32
 CHUNK_WORDS = 200_000
@@ -179,6 +177,38 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int =
     return materialise(seen.mapInArrow(_compare(size, percent), "a bigint, b bigint").distinct(), "neardup-links")
 
 
+def _stars(rated: DataFrame, leaders: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links (a: centre, b) of candidate clusters to their centres.
+
+    The centre is the class that agrees most with its candidates: in a group of
+    copies of one text that is the text itself, even if no two copies are similar
+    enough. Clusters that still have more unlinked classes than the neighbours
+    of one class cover are clustered again without the linked ones, until none
+    of them finds a link any more.
+    """
+    both = rated.select(F.col("a").alias("v"), "agree").unionAll(rated.select("b", "agree"))
+    central = materialise(both.groupBy(F.col("v").alias("_c")).agg(F.avg("agree").alias("mean")), "neardup-central")
+    edges, links = rated.select("a", "b"), None
+    while True:
+        cluster = components(edges, "neardup-clusters")
+        rank = F.struct(F.col("mean").alias("m"), (-F.col("v")).alias("v"))
+        centre = cluster.join(central, F.col("v") == F.col("_c")).groupBy(F.col("root").alias("_r")).agg(F.max_by("v", rank).alias("centre"), F.count(F.lit(1)).alias("size"))
+        centre = materialise(centre, "neardup-centre")
+        placed = materialise(cluster.join(centre, F.col("root") == F.col("_r")).select("v", "root", "centre", "size"), "neardup-placed")
+        new = confirmed(placed.where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b")), leaders, docs)
+        links = new if links is None else links.unionByName(new)
+        got = materialise(new.groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("got")), "neardup-got")
+        unlinked = placed.where("v <> centre").join(got.where("got > 0"), F.col("centre") == F.col("_a")).where(F.col("size") - 1 - F.col("got") > NEIGHBOURS)
+        done = new.select(F.col("b").alias("_b"))
+        unlinked = materialise(unlinked.join(done, F.col("v") == F.col("_b"), "left_anti").select("v"), "neardup-unlinked")
+        if not unlinked.head(1):
+            return links
+        edges = edges.join(unlinked, F.col("a") == F.col("v"), "left_semi").join(unlinked, F.col("b") == F.col("v"), "left_semi")
+        edges = materialise(edges, "neardup-open")
+        if not edges.head(1):
+            return links
+
+
 def link(docs: DataFrame) -> DataFrame:
     """Per row: rid, doc_id, th, n_shingles, component_id, and ``first``: whether the row stands for its component."""
     arrow_batches(docs.sparkSession)
@@ -198,8 +228,7 @@ def link(docs: DataFrame) -> DataFrame:
     rated = rated.join(sig, F.col("b") == F.col("_c")).select("a", "b", "x", F.col("sig").alias("y"))
     slack = 4 * (PERCENT * (100 - PERCENT) / _K) ** 0.5 / 100
     rated = materialise(rated.mapInArrow(_agreement, "a bigint, b bigint, agree double").where(F.col("agree") >= PERCENT / 100 - slack), "neardup-candidates")
-    cluster = components(rated.where(F.col("agree") >= STRONG), "neardup-clusters")
-    near = confirmed(materialise(cluster.where("v <> root").select(F.col("root").alias("a"), F.col("v").alias("b")), "neardup-stars"), leaders, docs)
+    near = _stars(rated, leaders, docs)
     # candidates whose ends the stars leave apart
     home = near.select(F.col("b").alias("_v"), F.col("a").alias("_home"))
     apart = rated.join(home, F.col("a") == F.col("_v"), "left").select("a", "b", F.coalesce("_home", "a").alias("ha"))
