@@ -10,8 +10,10 @@ only these are grouped exactly, by 96 hash bits. The sketch overestimates, so no
 repeated window is lost; it is sized by the text, up to ``MAX_CELLS`` cells a
 row, and a fuller sketch only lets more windows through.
 
-Documents of equal word sequences are repeats as a whole; inside a task only the
-first of them sends its windows.
+A part of the corpus (some thousand documents of one task) sends each distinct
+window once, with whether it has it twice itself, and gets back the numbers of
+its repeated windows. So even a window that a third of all documents share makes
+few rows, and the exact grouping takes one shuffle.
 
 Defined results: null or blank text has no words; texts shorter than a window
 lose nothing; repeated rows are copies of each other; an empty table gives an
@@ -22,11 +24,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwright.llm.common import WordHashes, arrow_batches, mix64, small_side
@@ -182,93 +183,161 @@ def sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: i
     return cells, bits.tobytes()
 
 
-_ROW = "rid bigint, doc_id bigint, n_words bigint, sha string, text string, pos array<int>, h1 array<bigint>, h2 array<int>"
+#: Suspected windows and documents after which a task starts a new part.
+PART_WINDOWS, PART_ROWS = 1 << 18, 4_000
+_ROW = "part bigint, doc_id bigint, th bigint, pos array<int>, win array<int>, len array<int>, h array<bigint>, more array<int>"
+_ROW_PA = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), *[(c, pa.list_(pa.int32())) for c in ("pos", "win", "len")], ("h", pa.list_(pa.int64())), ("more", pa.list_(pa.int32()))])
+
+
+class _Part:
+    """The suspected windows of some documents, numbered by first occurrence, so that repeated passages are runs of numbers."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []  # doc_id, hash of the text, starts of suspected windows
+        self.h1: list[np.ndarray] = []
+        self.h2: list[np.ndarray] = []
+        self.windows = 0
+
+    def batches(self, part: int) -> Iterator[pa.RecordBatch]:
+        """A row with the distinct windows (only if there are any), then the documents with their windows as runs."""
+        number = np.zeros(0, np.int64)
+        if self.windows:
+            h1, h2 = np.concatenate(self.h1), np.concatenate(self.h2)
+            order = np.lexsort((h2, h1))  # stable: a group starts with its first occurrence
+            new = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
+            firsts = np.flatnonzero(new)
+            rank = np.empty(len(firsts), np.int64)
+            rank[np.argsort(order[firsts])] = np.arange(len(firsts))
+            number = np.empty(self.windows, np.int64)
+            number[order] = rank[np.cumsum(new) - 1]
+            by_rank = np.argsort(rank)
+            first, twice = order[firsts][by_rank], (np.diff(np.append(firsts, self.windows)) > 1)[by_rank]
+            # more: 31 further hash bits, and whether this part alone has the window twice
+            more = (h2[first].astype(np.int64) >> 1 << 1 | twice).astype(np.uint32).view(np.int32)
+            one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
+            nothing = [pa.array([None], f.type) for f in _ROW_PA]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *nothing[1:6], one(h1[first], pa.int64()), one(more, pa.int32())], schema=_ROW_PA)
+        at = 0
+        for k in range(0, len(self.rows), 500):
+            rows = self.rows[k: k + 500]
+            counts = np.array([len(r[2]) for r in rows])
+            pos, win = np.concatenate([r[2] for r in rows]), number[at: at + int(counts.sum())]
+            at += len(pos)
+            of = np.repeat(np.arange(len(rows)), counts)
+            cut = np.flatnonzero(np.concatenate(([True], (np.diff(pos) != 1) | (np.diff(win) != 1) | (np.diff(of) != 0))))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of[cut], minlength=len(rows))))), pa.int32())
+            runs = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (pos[cut], win[cut], np.diff(np.append(cut, len(pos))))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *runs,
+                pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int32())),
+            ], schema=_ROW_PA)
 
 
 def _suspects(shared, window: int, anchor: int):
-    """Of each document: its words' number and hash, and its windows that the sketch estimates repeated."""
+    """Parts of documents with the windows that the sketch estimates repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, part, name = WordHashes(), _Part(), None
         cells, packed = shared.value
         bits = np.frombuffer(packed, np.uint8).reshape(SKETCH_ROWS, cells // 8)
         for b in batches:
-            raw = b.column(2).cast(pa.binary()).to_pylist()
+            if not b.num_rows:
+                continue
+            (rids, ids, ths), raw = (b.column(k).to_pylist() for k in range(3)), b.column(3).cast(pa.binary()).to_pylist()
             for first, words in _chunks(raw):
                 c = Chunk(words, hashes, window, anchor)
                 repeated = np.ones(len(c.anchor_hash), bool)
                 for row, cell in enumerate(_cells(c.anchor_hash.astype(np.uint64), cells)):
                     repeated &= (bits[row][cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
                 starts = c.starts[repeated[c.anchor_of]] if len(c.starts) else c.starts
-                shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-                fresh = np.ones(len(words), bool)
-                for i, sha in enumerate(shas):
-                    if sha in seen:
-                        fresh[i] = False
-                    elif len(seen) < 1_000_000:
-                        seen.add(sha)
                 of = np.searchsorted(c.firsts + c.lengths, starts, "right")
-                keep = fresh[of] if len(of) else np.zeros(0, bool)
-                starts, of = starts[keep], of[keep]
                 counts = np.bincount(of, minlength=len(words))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                lists = [(starts - c.firsts[of]).astype(np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+                each = np.split(starts - c.firsts[of], np.cumsum(counts)[:-1])
+                name = rids[first] if name is None else name
+                part.rows += [(ids[first + i], ths[first + i], each[i]) for i in np.flatnonzero(counts).tolist()]
                 if len(starts):
-                    lists[1] = rolling(c.h, window)[starts].view(np.int64)
-                    lists[2] = (rolling(c.h, window, _B2)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows = b.slice(first, len(words))
-                texts = pa.array([raw[first + i] if n else None for i, n in enumerate(counts.tolist())], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(c.lengths), pa.array(shas, pa.string()), texts, *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists]],
-                    ["rid", "doc_id", "n_words", "sha", "text", "pos", "h1", "h2"])
+                    part.h1.append(rolling(c.h, window)[starts].view(np.int64))
+                    part.h2.append((rolling(c.h, window, _B2)[starts] >> np.uint64(32)).astype(np.uint32))
+                    part.windows += len(starts)
+                if part.windows >= PART_WINDOWS or len(part.rows) >= PART_ROWS:
+                    yield from part.batches(name)
+                    part, name = _Part(), None
+        if part.rows:
+            yield from part.batches(name)
 
     return run
 
 
-def _cut(window: int):
+def _ranges(window: int):
+    """Streams parts sorted so that a part's repeated windows come before its documents; gives the word ranges to remove."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, repeated = None, np.zeros(0, bool)
         for b in batches:
-            removed, shas = [], []
-            for text, starts in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3)):
-                w = text.split()
-                marks = np.zeros(len(w) + window + 1, np.int32)
-                at = starts.values.to_numpy()
-                np.add.at(marks, at, 1)
-                np.add.at(marks, at + window, -1)
-                kept = np.cumsum(marks)[: len(w)] == 0
-                removed.append(len(w) - int(kept.sum()))
-                shas.append(hashlib.sha256(b" ".join(compress(w, kept.tolist()))).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            keep, firsts, lasts = [], [], []
+            for i, (part, numbers) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
+                if part != at:
+                    at, repeated = part, np.zeros(0, bool)
+                if numbers.is_valid:  # the part's repeated windows
+                    found = numbers.values.to_numpy()
+                    repeated = np.zeros(int(found.max()) + 1, bool)
+                    repeated[found] = True
+                    continue
+                runs = zip(*(b.column(k)[i].values.to_pylist() for k in (5, 6, 7)))
+                starts = np.concatenate([np.flatnonzero(repeated[first: first + n]) + start for start, first, n in runs])
+                if len(starts):
+                    starts.sort()
+                    gap = np.flatnonzero(np.diff(starts) > window)  # windows that touch are one range
+                    keep.append(i)
+                    firsts.append(starts[np.concatenate(([0], gap + 1))].tolist())
+                    lasts.append((starts[np.append(gap, len(starts) - 1)] + window).tolist())
+            rows = b.take(pa.array(keep, pa.int64()))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(4), pa.array(firsts, kind), pa.array(lasts, kind)], ["doc_id", "th", "first", "last"])
 
     return run
 
 
-def _found(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
-    """Stored rows of ``_suspects``, and per row (rid) the starts of its repeated windows and whether it is a copy as a whole."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n_words, removed, shas = [], [], []
+        for text, first, last in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            w = text.split() if text else []
+            n_words.append(len(w))
+            if first:
+                for s, e in zip(reversed(first), reversed(last)):
+                    del w[s:e]
+            removed.append(n_words[-1] - len(w))
+            shas.append(hashlib.sha256(b" ".join(w)).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, th, first, last) of each different document that loses words, stored; th: hash of the text; first, last: arrays of word ranges, the end exclusive."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch(docs, window, anchor))
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    src = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
     rows = materialise(src.mapInArrow(_suspects(shared, window, anchor), _ROW), "substring-rows")
-    each = rows.where(F.size("pos") > 0).select("rid", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("w")).select("rid", "w.pos", "w.h1", "w.h2")
-    twice = materialise(each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "substring-repeated")
-    starts = materialise(each.join(twice, ["h1", "h2"]).groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_list("pos")).alias("starts")), "substring-starts")
-    long = rows.where(F.col("n_words") >= window)
-    copies = materialise(long.groupBy(F.col("sha").alias("_sha")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_sha"), "substring-copies")
-    marked = rows.select("rid", "doc_id", "n_words", "sha").join(small_side(copies), (F.col("sha") == F.col("_sha")) & (F.col("n_words") >= window), "left")
-    return rows, marked.join(starts, F.col("rid") == F.col("_rid"), "left").select("rid", "doc_id", "n_words", "sha", F.col("_sha").isNotNull().alias("copy"), "starts")
+    # a part sends each window once, so a window of very many documents has a row a part, not a document
+    each = rows.where(F.col("h").isNotNull()).select("part", F.posexplode(F.arrays_zip("h", "more")).alias("number", "w")).select("part", "number", "w.h", "w.more")
+    weight = F.sum(F.col("more").bitwiseAND(1) + 1).over(Window.partitionBy("h", F.shiftright("more", 1)))
+    found = each.withColumn("n", weight).where("n > 1").groupBy("part").agg(F.collect_list("number").alias("numbers"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    runs = ("pos", "win", "len")
+    found = found.select("part", F.lit(0).alias("role"), "numbers", none("bigint", "doc_id"), none("bigint", "th"), *[none("array<int>", c) for c in runs])
+    marked = rows.where(F.col("h").isNull()).select("part", F.lit(1).alias("role"), none("array<int>", "numbers"), "doc_id", "th", *runs)
+    both = found.unionByName(marked).repartition("part").sortWithinPartitions("part", "role")
+    ranges = both.mapInArrow(_ranges(window), "doc_id bigint, th bigint, first array<int>, last array<int>")
+    return materialise(ranges.dropDuplicates(["doc_id", "th"]), "substring-ranges")  # equal rows lose the same words
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    rows, verdict = _found(docs, window, anchor)
-    verdict = materialise(verdict, "substring-verdict")
-    whole = verdict.where(F.col("copy") | F.col("starts").isNull()).select(
-        "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("copy"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"))
-    part = verdict.where(~F.col("copy") & F.col("starts").isNotNull()).select("rid", "doc_id", "n_words", "starts")
-    texts = rows.where(F.col("text").isNotNull()).select(F.col("rid").alias("_rid"), "text")
-    part = part.join(texts, F.col("rid") == F.col("_rid")).select("doc_id", "n_words", "text", "starts")
-    return whole.unionByName(part.mapInArrow(_cut(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
+    ranges = repeated_ranges(docs, window, anchor)
+    side = small_side(ranges.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "first", "last"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.xxhash64(docs["text"]).alias("th"))
+    cut = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("doc_id", "text", "first", "last")
+    return cut.mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
