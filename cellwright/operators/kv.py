@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellwright.types import relaxed
+
 META = ("_op", "_commit", "_seq", "_version", "_ts")
 PUT, REMOVE = "put", "remove"
 
@@ -122,7 +124,7 @@ class RecordTable:
 
     def _empty(self) -> DataFrame:
         meta = T.StructType([T.StructField("_op", T.StringType()), T.StructField("_commit", T.LongType()), T.StructField("_seq", T.LongType()), T.StructField("_version", T.LongType()), T.StructField("_ts", T.TimestampType())])
-        return self.spark.createDataFrame([], T.StructType([*self.schema.fields, *meta.fields]))
+        return self.spark.createDataFrame([], relaxed(T.StructType([*self.schema.fields, *meta.fields])))
 
     def changes(self, version: int | None = None, after: int = 0) -> DataFrame:
         """All changes up to a version, from the last base before it, or only those after a commit."""
@@ -134,8 +136,7 @@ class RecordTable:
             known = [c for c in known if c.version >= base]
         if not known:
             return self._empty()
-        nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in self._empty().schema.fields])
-        return self.spark.read.schema(nullable).parquet(*[f"{self.path}/data/{c.path}" for c in known])
+        return self.spark.read.schema(relaxed(self._empty().schema)).parquet(*[f"{self.path}/data/{c.path}" for c in known])
 
     def current(self, version: int | None = None, headers: bool = False) -> DataFrame:
         """The newest version of every key that isn't removed."""
@@ -160,7 +161,7 @@ class RecordTable:
         missing = [f.name for f in self.schema.fields if f.name not in df.columns and not f.nullable]
         if missing:
             raise ValueError(f"required fields are missing: {missing}")
-        return df.select(*[(df[f"`{f.name}`"] if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        return df.select(*[(df[f"`{f.name}`"] if f.name in df.columns else F.lit(None)).cast(relaxed(f.dataType)).alias(f.name) for f in self.schema.fields])
 
     def write_changes(self, changes: DataFrame, base: int | None = None, kind: str = "delta") -> int:
         """Commit rows that have ``_op`` (and maybe ``_seq`` and ``_version``) on top of version ``base``; the new version."""
@@ -171,7 +172,7 @@ class RecordTable:
             extra["_seq"] = F.lit(0).cast("long")
         if "_version" not in changes.columns:
             extra["_version"] = F.lit(1).cast("long")
-        rows = changes.withColumns(extra).select(*[f"`{f.name}`" for f in self.schema.fields], *META)
+        rows = changes.withColumns(extra).select(*[F.col(f"`{f.name}`").cast(relaxed(f.dataType)).alias(f.name) for f in self.schema.fields], *META)
         rows.write.parquet(f"{self.path}/data/{path}")
         self._publish(version, kind, path)
         return version
@@ -219,7 +220,7 @@ class RecordTable:
         return self._drop(update_existing(keys, old, self.key), base)
 
     def _drop(self, rows: DataFrame, base: int) -> int:
-        gone = [F.col(self.key) if f.name == self.key else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        gone = [F.col(self.key) if f.name == self.key else F.lit(None).cast(relaxed(f.dataType)).alias(f.name) for f in self.schema.fields]
         return self.write_changes(rows.select(*gone).withColumn("_op", F.lit(REMOVE)), base)
 
     def update_by(self, predicate: Column | str, changes: Mapping[str, Column | str]) -> int:

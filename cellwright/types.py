@@ -38,6 +38,15 @@ WIDTHS = {"bool": 1, "char": 4, "i8": 1, "i16": 2, "i32": 4, "i64": 8, "u8": 1,
 WIDE = 32
 
 
+def relaxed(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed at every level, as casts need it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, relaxed(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(relaxed(kind.elementType), True)
+    return kind
+
+
 class IndexKind(Enum):
     RANGED = "ranged"
     HASHED = "hashed"
@@ -139,7 +148,7 @@ class Schema:
         extra = [c for c in df.columns if c not in declared and c != DYNAMIC]
         if extra and not self.is_dynamic:
             raise SchemaMismatch(f"{self.name}: undeclared fields: {extra}")
-        cols = [(df[f"`{f.name}`"] if f.name in df.columns else F.lit(None)).cast(f.data_type()).alias(f.name) for f in self.fields]
+        cols = [(df[f"`{f.name}`"] if f.name in df.columns else F.lit(None)).cast(relaxed(f.data_type())).alias(f.name) for f in self.fields]
         if self.is_dynamic:
             if DYNAMIC in df.columns:
                 cols.append(df[DYNAMIC])
@@ -156,7 +165,7 @@ class Schema:
         bad = self.violations()
         first = self.fields[0].name
         message = F.concat(F.lit(f"{self.name}: null in required field "), F.array_join(bad, ", "))
-        return out.withColumn(first, F.when(F.size(bad) > 0, F.raise_error(message).cast(self.fields[0].data_type())).otherwise(F.col(f"`{first}`")))
+        return out.withColumn(first, F.when(F.size(bad) > 0, F.raise_error(message).cast(relaxed(self.fields[0].data_type()))).otherwise(F.col(f"`{first}`")))
 
 
 def record_id(schema_id: int, key: Column) -> Column:
