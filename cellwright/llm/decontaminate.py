@@ -38,7 +38,8 @@ UNITS = (
 
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 _NAME = r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
-_NUMBER = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+)*(?![\p{L}\p{N}])"
+# at most 20 groups at a time: Java's matcher recurses once a group
+_NUMBER = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,:/][0-9]+){0,20}(?![\p{L}\p{N}])"
 _OTHER = r"[^\p{L}\p{N}\x01\x02\x20\x09-\x0D]+"
 
 

@@ -39,7 +39,7 @@ CLOSES_P = BLOCK - frozenset("option legend caption summary".split())
 NOT_CONTENT = frozenset(
     "nav footer aside form script style noscript template iframe svg object button select textarea input head title dialog menu canvas audio video map".split())
 PART_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar"
+    "ad ads advert adverts advertisement advertising adsense adbox adslot adunit adbanner sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer sidebar side rail"
     " menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus replies respond share sharing social related"
     " recommended newsletter subscribe subscription popup modal overlay widget login signup search pagination pager toolbar skip copyright".split())
 PART_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -49,12 +49,16 @@ _SPLIT = re.compile(r"[\s_-]+")
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: (text, tags, is a page part, article, main, section)."""
+    """Cuts a page into lines: (text, tags, is a page part, article, main, section).
+
+    Text of page parts that stand inside a line (scripts, buttons) is dropped, and the line goes on.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int, int, int]] = []
-        self.stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]  # tag, page part, outermost article and main, closest section
+        # tag, page part, outermost article and main, closest section, inside a page part within a line
+        self.stack: list[tuple[str, bool, int, int, int, bool]] = [("", False, 0, 0, 0, False)]
         self.text: list[str] = []
         self.tags = 0
         self.made = 0
@@ -62,17 +66,21 @@ class _Lines(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, part, article, main, section = self.stack[-1]
+            _, part, article, main, section, _ = self.stack[-1]
             self.lines.append((text, max(1, self.tags), part, article, main, section))
             self.tags = 0
         self.text = []
 
     def pop_to(self, k: int) -> None:
-        if any(x[0] in BLOCK for x in self.stack[k:]):
+        if any(x[0] in BLOCK and not x[5] for x in self.stack[k:]):
             self.cut()
         del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        inside = self.stack[-1][5]
+        if inside and tag not in VOID:
+            self.stack.append((tag, *self.stack[-1][1:]))
+            return
         if tag == "br":
             self.tags += 1
             self.text.append(" ")
@@ -91,8 +99,9 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, part, article, main, section = self.stack[-1]
+        _, part, article, main, section, _ = self.stack[-1]
         self.made += 1
+        was_part = part
         if not part and tag not in ("html", "body"):
             part = tag in NOT_CONTENT or tag == "header" and not (article or main)
             if not part and tag not in ("article", "main") and attrs:
@@ -105,7 +114,7 @@ class _Lines(HTMLParser):
                         part = not ((article or main) and name in ("class", "id") and PART_NAMES.intersection(_SPLIT.split(value.lower())) == {"header"})
                         if part:
                             break
-        self.stack.append((tag, part, article or (self.made if tag == "article" else 0), main or (self.made if tag == "main" else 0), self.made if tag in SECTION else section))
+        self.stack.append((tag, part, article or (self.made if tag == "article" else 0), main or (self.made if tag == "main" else 0), self.made if tag in SECTION else section, part and not was_part and tag not in BLOCK))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -128,7 +137,8 @@ class _Lines(HTMLParser):
             self.cut()
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.stack[-1][5]:
+            self.text.append(data)
 
     def end(self) -> list[tuple[str, int, bool, int, int, int]]:
         self.close()

@@ -108,7 +108,7 @@ def fit(docs: DataFrame, learn: Column, rows_per_language: int = ROWS_PER_LANGUA
         return {"languages": []}
     languages = {r.lang: k for k, r in enumerate(known)}
     share = F.element_at(F.create_map(*[x for r in known for x in (F.lit(r.lang), F.lit(min(1.0, rows_per_language / r.n)))]), F.col("lang"))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
     arrow_batches(docs.sparkSession)
     counted = rows.where(place < share).select("lang", "text").mapInArrow(_count(languages), "k int, slot int, n bigint")
     width = BUCKETS + 1 + len(SCRIPTS) + 1

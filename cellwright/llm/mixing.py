@@ -11,7 +11,8 @@ sorted by position over range partitions.
 Documents of a source stand in a fixed pseudo-random order. Their running sums
 come from two levels, so that no task holds a whole source: sums of hash buckets
 (shared by all sources), then a running sum inside a bucket. A copy of a
-document is taken if at least half of it lies before the target.
+document is taken if at least half of it lies before the target. The sources
+themselves are ranked in one task, a row a source.
 
 Only DataFrame functions are used. Defined results: null or blank text has size
 0 and takes 0 words; a null source is the last source; repeated rows count each;
