@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cellwright.llm import oracle
 from cellwright.llm.decontaminate import op5_decontaminate
 from cellwright.llm.htmltext import op2_html
 from cellwright.llm.langid import op7_langid
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_neardup": oracle.neardup(), "op4_substrings": oracle.substrings(), "op6_licences": oracle.licence_scan(), "op9_quality": oracle.quality_rules()}
