@@ -63,14 +63,23 @@ def latest(changes: DataFrame, key: str, order: list[str], removed: Column | Non
     return out if removed is None else out.where(~F.coalesce(removed, F.lit(False)))
 
 
+def touched(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """The rows of a large ``table`` whose key is among the ``incoming`` ones.
+
+    A small side is broadcast, and the join moves below the aggregate of a
+    current view, so the table is filtered where it is read.
+    """
+    return table.join(incoming.select(key), key, "left_semi")
+
+
 def insert_if_absent(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows whose key the table doesn't have."""
-    return incoming.join(table.select(key), key, "left_anti")
+    return incoming.join(touched(table, incoming, key).select(key), key, "left_anti")
 
 
 def update_existing(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows whose key the table has."""
-    return incoming.join(table.select(key), key, "left_semi")
+    return incoming.join(touched(table, incoming, key).select(key), key, "left_semi")
 
 
 class RecordTable:
@@ -183,7 +192,7 @@ class RecordTable:
     def _put(self, rows: DataFrame, base: int, old: DataFrame | None = None) -> int:
         if old is None:
             return self.write_changes(rows.withColumn("_op", F.lit(PUT)), base)
-        versions = old.select(F.col(self.key).alias("_k"), F.col("_version").alias("_old"))
+        versions = touched(old, rows, self.key).select(F.col(self.key).alias("_k"), F.col("_version").alias("_old"))
         put = rows.join(versions, F.col(self.key) == F.col("_k"), "left").withColumn("_version", F.coalesce(F.col("_old"), F.lit(0)) + 1)
         return self.write_changes(put.drop("_k", "_old").withColumn("_op", F.lit(PUT)), base)
 

@@ -84,7 +84,8 @@ def take(df: DataFrame, indices: DataFrame, position: str = "pos", index: str =
 
     ``indices`` has columns (position, index); an absent index gives nulls, a repeated one gives its row again.
     """
-    return indices.join(df, index, "left").orderBy(position)
+    found = df.join(indices.select(index), index, "left_semi")  # filters the table before it is shuffled
+    return indices.join(found, index, "left").orderBy(position)
 
 
 def concat(*tables: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from cellwright.plans.expr import compile_expr
 
 #: Lookup keys up to which the keys are broadcast; they come from the caller's memory.
 BROADCAST_KEYS = 100_000
+#: Keys up to which a lookup is a filter on the scan.
+PUSHED_KEYS = 1_000
 
 
 class Ordering(Enum):
@@ -116,10 +118,12 @@ def read_cell(df: DataFrame, id_col: str, key: Any) -> DataFrame:
     return df.where(F.col(id_col) == F.lit(key)).limit(1)
 
 
-def _keys(df: DataFrame, id_col: str, keys: Sequence[Any]) -> DataFrame:
-    kind = df.schema[id_col].dataType.simpleString()
-    wanted = df.sparkSession.createDataFrame([(i, k) for i, k in enumerate(keys)], f"pos int, `{id_col}` {kind}")
-    return F.broadcast(wanted) if len(keys) <= BROADCAST_KEYS else wanted
+def _found(df: DataFrame, id_col: str, keys: Sequence[Any], wanted: DataFrame) -> DataFrame:
+    """The rows with any of the keys: a filter that reaches the files if the keys are few, else a join that broadcasts them if it can."""
+    if len(keys) <= PUSHED_KEYS:
+        return df.where(F.col(id_col).isin(list(dict.fromkeys(keys))))
+    distinct = wanted.select(id_col).distinct()
+    return df.join(F.broadcast(distinct) if len(keys) <= BROADCAST_KEYS else distinct, id_col, "left_semi")
 
 
 def read_all_cells(df: DataFrame, id_col: str, keys: Sequence[Any], columns: Sequence[str] = (), selection: str | Column | None = None, processing: str | Column | None = None) -> DataFrame:
@@ -130,7 +134,9 @@ def read_all_cells(df: DataFrame, id_col: str, keys: Sequence[Any], columns: Seq
         df = df.select(id_col, compile_expr(processing).alias("value"))
     elif columns:
         df = df.select(id_col, *[F.col(c).alias(c.rsplit(".", 1)[-1]) for c in columns if c != id_col])
-    return df.join(_keys(df, id_col, keys), id_col, "right").select("pos", *df.columns)
+    kind = df.schema[id_col].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame([(i, k) for i, k in enumerate(keys)], f"pos int, `{id_col}` {kind}")
+    return wanted.join(_found(df, id_col, keys, wanted), id_col, "left").select("pos", *df.columns)
 
 
 def count(df: DataFrame) -> DataFrame:

@@ -53,6 +53,14 @@ def test_lookups(rows):
     assert got == {0: 18, 1: 6, 2: 18, 3: None}
 
 
+def test_lookups_reach_the_files_or_broadcast(spark, folder):
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    few = scan.read_all_cells(orders, "o_orderkey", [3, 9], ["o_custkey"])._jdf.queryExecution().executedPlan().toString()
+    assert "In(o_orderkey, [3,9])" in few
+    many = scan.read_all_cells(orders, "o_orderkey", list(range(1500)), ["o_custkey"])
+    assert "BroadcastHashJoin" in many._jdf.queryExecution().executedPlan().toString() and many.count() == 1500
+
+
 def test_zero_and_negative_values_are_indexed(spark):
     df = spark.createDataFrame([(1, -5), (2, 0), (3, 5), (4, None)], "id int, v int")
     assert ids(scan.range_index_scan(df, "id", "v", ValueRange(inclusive(-9)), ordering=Ordering.FORWARD)) == [1, 2, 3]
