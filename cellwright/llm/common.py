@@ -29,9 +29,14 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored table has at most ``rows`` rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` hinted for broadcast if it is a stored table of at most ``rows`` rows, else unchanged."""
-    return F.broadcast(df) if len(df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rows).head(1)) else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def arrow_batches(spark: SparkSession, rows: int = 2_000, megabytes: int = 32) -> None:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import SPACE, small_side, words
+from cellwright.llm.common import SPACE, is_small, small_side, words
 from cellwright.sources.scratch import materialise
 
 WINDOW = 8
@@ -110,13 +110,21 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(nd <= 0, F.lit(1.0)).when(kd >= nd * p, F.lit(1.0)).otherwise(F.exp(top) * total)
 
 
-def thresholds(feats: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id",
+def _good(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    return labels.where("quality = 1").select(F.col(doc_id).alias("_id")).distinct()
+
+
+def thresholds(feats: DataFrame, labels: DataFrame | None, stratum: str = "lang", doc_id: str = "doc_id",
                max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """(stratum, one ``cut_<rule>`` per rule, null where off) from documents labelled good that pass the base rules."""
-    good = labels.where("quality = 1").select(F.col(doc_id).alias("_id")).distinct()
-    held = feats.where("not base_failed").join(good, F.col(doc_id) == F.col("_id"), "left_semi")
-    sums = [F.sum(F.when(F.expr(f"{e} > {c}"), 1).otherwise(0)).alias(f"{rule}_{i}") for rule, (e, cuts) in RULES.items() for i, c in enumerate(cuts)]
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    """(stratum, one ``cut_<rule>`` per rule, null where off) from documents labelled good that pass the base rules.
+
+    Without ``labels``, all of ``feats`` are documents labelled good.
+    """
+    held = feats if labels is None else feats.join(_good(labels), F.col(doc_id) == F.col("_id"), "left_semi")
+    # the base rules count inside the sums: as a filter they would have the statistics computed twice
+    passed = ~F.col("base_failed")
+    sums = [F.sum(F.when(passed & F.expr(f"{e} > {c}"), 1).otherwise(0)).alias(f"{rule}_{i}") for rule, (e, cuts) in RULES.items() for i, c in enumerate(cuts)]
+    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.sum(F.when(passed, 1).otherwise(0)).alias("n"), *sums).where("n > 0")
     counts = materialise(counts, "quality-counts")
     tests = counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
     per_rule = sum(len(c) for _, c in RULES.values())
@@ -136,12 +144,14 @@ def thresholds(feats: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
 
 def verdict(feats: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
     """``feats`` with ``kept``. ``cuts`` is a stored table of one row per stratum; it is broadcast if small."""
-    failed = F.lit(False)
+    # one number that is never null: a filter on it has no part, and implies no null check, that would move below the
+    # join and compute the statistics again
+    failures = F.col("base_failed").cast("int")
     for rule, (e, _) in RULES.items():
-        failed = failed | F.coalesce(F.expr(e) > F.col(f"cut_{rule}"), F.lit(False))
+        failures = failures + F.coalesce((F.expr(e) > F.col(f"cut_{rule}")).cast("int"), F.lit(0))
     return (
         feats.join(small_side(cuts), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
-        .withColumn("kept", ~F.col("base_failed") & ~failed)
+        .withColumn("kept", F.coalesce(failures, F.lit(1)) == 0)
         .drop("stratum", *[f"cut_{r}" for r in RULES])
     )
 
@@ -159,9 +169,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns only."""
     names = docs.columns
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_d"), F.col("doc_id"), F.col("text"), F.col("lang"))
-    feats = features(packed)
-    cuts = materialise(thresholds(feats, labels, **options), "quality-cuts")
-    return verdict(feats, cuts).where("kept").select("_d.*")
+    good = materialise(_good(labels), "quality-good")
+    narrow = packed.drop("_d")
+    if is_small(good):  # few labels: drop the other texts first; else shuffle the statistics, never the texts
+        cuts = thresholds(features(narrow.join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left_semi")), None, **options)
+    else:
+        cuts = thresholds(features(narrow).drop("text"), labels, **options)
+    cuts = materialise(cuts, "quality-cuts")
+    return verdict(features(packed), cuts).where("kept").select("_d.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
