@@ -257,8 +257,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     both = small_side(materialise(drop.unionByName(again), "neardup-keys"))
     again = small_side(again)
     repeated = docs.join(again, key(again), "left_semi")
-    one = repeated.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
-    return docs.join(both, key(both), "left_anti").unionByName(one)
+    packed = repeated.select(F.struct(*[docs[c] for c in docs.columns]).alias("_d"), docs["doc_id"].alias("_i"), F.xxhash64(docs["text"]).alias("_h"))
+    return docs.join(both, key(both), "left_anti").unionByName(packed.dropDuplicates(["_i", "_h"]).select("_d.*"))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
