@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import SPACE, is_small, small_side, words
+from cellwright.llm.common import SPACE, is_small, small_side, spread, words
 from cellwright.sources.scratch import materialise
 
 WINDOW = 8
@@ -116,7 +116,7 @@ def _good(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def thresholds(feats: DataFrame, labels: DataFrame | None, stratum: str = "lang", doc_id: str = "doc_id",
                max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """(stratum, one ``cut_<rule>`` per rule, null where off) from documents labelled good that pass the base rules.
+    """(stratum, one ``cut_<rule>`` per rule, null where off; no row if all are) from documents labelled good that pass the base rules.
 
     Without ``labels``, all of ``feats`` are documents labelled good.
     """
@@ -126,20 +126,13 @@ def thresholds(feats: DataFrame, labels: DataFrame | None, stratum: str = "lang"
     sums = [F.sum(F.when(passed & F.expr(f"{e} > {c}"), 1).otherwise(0)).alias(f"{rule}_{i}") for rule, (e, cuts) in RULES.items() for i, c in enumerate(cuts)]
     counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.sum(F.when(passed, 1).otherwise(0)).alias("n"), *sums).where("n > 0")
     counts = materialise(counts, "quality-counts")
-    tests = counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
-    per_rule = sum(len(c) for _, c in RULES.values())
+    strata = counts.count()
+    level = delta / (max(1, strata) * sum(len(c) for _, c in RULES.values()))
     risk = max_false_rejection / len(RULES)  # the rules' risks add up
-
-    def cut(rule: str) -> Column:
-        _, cuts = RULES[rule]
-        out = F.lit(None).cast("double")
-        for i, c in reversed(list(enumerate(cuts))):
-            safe = binomial_tail(F.col(f"{rule}_{i}"), F.col("n"), risk) <= F.lit(delta) / (F.col("strata") * per_rule)
-            out = F.when(safe, F.lit(float(c))).otherwise(out)
-        return out.alias(f"cut_{rule}")
-
-    strata = tests.head()[0]
-    return counts.withColumn("strata", F.lit(strata)).select("stratum", *[cut(r) for r in RULES])
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cut"), F.col(f"{r}_{i}").alias("k")) for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts)])
+    tests = counts.select("stratum", "n", F.explode(each).alias("t")).select("stratum", "n", "t.*")
+    safe = tests.where(binomial_tail(F.col("k"), F.col("n"), risk) <= level)
+    return safe.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])  # the strictest
 
 
 def verdict(feats: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -160,7 +153,7 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, the statistics, base_failed and kept of every document. Statistics are computed once and stored."""
     cols = {f.name for f in docs.schema}
     src = docs.select("doc_id", "text", (F.col("lang") if "lang" in cols else F.lit(None).cast("string")).alias("lang"))
-    feats = materialise(features(src).drop("text"), "quality-features")
+    feats = materialise(features(spread(src)).drop("text"), "quality-features")
     cuts = materialise(thresholds(feats, labels, **options), "quality-cuts")
     return verdict(feats, cuts)
 
@@ -168,7 +161,7 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns only."""
     names = docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_d"), F.col("doc_id"), F.col("text"), F.col("lang"))
+    packed = spread(docs.select(F.struct(*[docs[c] for c in names]).alias("_d"), F.col("doc_id"), F.col("text"), F.col("lang")))
     good = materialise(_good(labels), "quality-good")
     narrow = packed.drop("_d")
     if is_small(good):  # few labels: drop the other texts first; else shuffle the statistics, never the texts
