@@ -39,6 +39,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if its files make fewer splits than there are cores; anything larger stays as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+
+
 def arrow_batches(spark: SparkSession, rows: int = 2_000, megabytes: int = 32) -> None:
     """Bound the batches that Python functions get, unless the session sets its own bounds."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import SPACE, small_side
+from cellwright.llm.common import SPACE, small_side, spread
 from cellwright.sources.scratch import materialise
 
 WINDOW = 6
@@ -82,7 +82,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_covera
     """(doc_id, text_hash, item_id, matched, coverage, verbatim) of each contaminated document and item, stored."""
     items = item_windows(benchmark, window)
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW values
-    keyed = docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), docs["text"])
+    keyed = spread(docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), docs["text"]))
 
     def placed(size: int) -> Column:
         return F.transform(_windows(F.col("t"), size), lambda h, i: F.struct(h.alias("h"), i.alias("dpos"), F.lit(size).alias("size")))

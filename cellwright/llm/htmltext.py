@@ -25,7 +25,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm.common import arrow_batches
+from cellwright.llm.common import arrow_batches, spread
 
 SIGMA = 1.5
 
@@ -193,7 +193,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     arrow_batches(pages.sparkSession)
-    src = pages.select(pages["page_id"].cast("long"), pages["url"].cast("string"), pages["html"].cast("string"))
+    src = spread(pages.select(pages["page_id"].cast("long"), pages["url"].cast("string"), pages["html"].cast("string")))
     return src.mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import arrow_batches
+from cellwright.llm.common import arrow_batches, spread
 
 ROWS_PER_LANGUAGE = 2_000
 SWITCH_PENALTY = 9.0
@@ -199,7 +199,7 @@ def label(docs: DataFrame, model: dict, penalty: float = SWITCH_PENALTY, keep: t
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the languages
     arrow_batches(spark)
-    src = docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias("_text"))
+    src = spread(docs.select(*[docs[c] for c in keep], docs["text"].cast("string").alias("_text")))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("_text").schema)
     schema = f"{kept}, lang_pred string, score double, spans array<struct<start:int,words:int,lang:string>>"
 

@@ -8,7 +8,7 @@ window, cut off by an end of the text, has too few bigrams to reach the
 threshold is not compared (2 min(a, b) / (a + b) bounds the coefficient). Each
 anchor gets its best template; ties go to the larger template, then by name.
 
-Only DataFrame functions are used; the plan has no shuffle. Defined results:
+Only DataFrame functions are used; the plan has no shuffle beyond spreading tiny tables. Defined results:
 null or empty text has no licence; repeated rows are judged each; an empty table
 gives an empty result; columns other than the id and the text are not read.
 """
@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwright.llm.common import spread
+
 MIN_DICE = 0.8
 
 # Notices and opening sentences of public licences, by SPDX identifier.
@@ -104,7 +106,8 @@ def matches(text: Column, min_dice: float = MIN_DICE, templates=TEMPLATES) -> Co
 
 def scan(docs: DataFrame, text: str = "text", min_dice: float = MIN_DICE) -> DataFrame:
     """doc_id and ``found`` (see ``matches``) of every row."""
-    return docs.select(docs["doc_id"], matches(docs[text], min_dice).alias("found"))
+    src = spread(docs.select(docs["doc_id"], docs[text].alias("_text")))
+    return src.select("doc_id", matches(F.col("_text"), min_dice).alias("found"))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

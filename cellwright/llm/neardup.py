@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import WordHashes, arrow_batches, mix64, small_side
+from cellwright.llm.common import WordHashes, arrow_batches, mix64, small_side, spread
 from cellwright.llm.components import components
 from cellwright.llm.substrings import rolling
 from cellwright.sources.scratch import materialise
@@ -212,7 +212,8 @@ def _stars(rated: DataFrame, leaders: DataFrame, docs: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> DataFrame:
     """Per row: rid, doc_id, th, n_shingles, component_id, and ``first``: whether the row stands for its component."""
     arrow_batches(docs.sparkSession)
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
+    src = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text")))
+    src = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "text")
     rows = materialise(src.mapInArrow(_summarise, _ROW), "neardup-rows")
     leader = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(leader.alias("m"), F.count(F.lit(1)).alias("rows"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import common  # noqa: F401  registers the package with the pickler
+from cellwright.llm.common import arrow_batches, spread
 from cellwright.sources.scratch import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -142,7 +142,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored scan of every row: base counts, spans, and all occurrences with their patterns; ``rid`` tells rows apart."""
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    arrow_batches(docs.sparkSession)
+    src = spread(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")))
+    src = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     return materialise(src.mapInArrow(_scan, _SCAN), "pii-scan")
 
 

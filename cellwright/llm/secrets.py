@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm.common import arrow_batches
+from cellwright.llm.common import arrow_batches, spread
 
 MAX_FINDINGS = 20_000
 TREES = 30
@@ -254,7 +254,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, min_score: float = MIN_S
                     for t, found in zip(texts, find(texts, forest, min_score))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, _FINDINGS)], ["doc_id", "found"])
 
-    src = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string").alias("text"))
+    src = spread(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string").alias("text")))
     return src.mapInArrow(run, "doc_id bigint, found array<struct<start:int,end:int,kind:string,score:double,sha256:string>>")
 
 
@@ -282,7 +282,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, min_score: float = MIN
                     columns[k] = pa.array([len(t) if t is not None else n for t, n in zip(texts, old)], b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

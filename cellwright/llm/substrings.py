@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import WordHashes, arrow_batches, mix64, small_side
+from cellwright.llm.common import WordHashes, arrow_batches, mix64, small_side, spread
 from cellwright.sources.scratch import materialise
 
 WINDOW = 35
@@ -175,7 +175,7 @@ def sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: i
         chars = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
         cells = min(MAX_CELLS, max(LEAST_CELLS, 1 << (int(chars) // 15).bit_length()))  # about four cells an anchor
     arrow_batches(docs.sparkSession)
-    made = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_sketch(window, anchor, cells), _PIECE)
+    made = spread(docs.select(docs["text"].cast("string").alias("text"))).mapInArrow(_sketch(window, anchor, cells), _PIECE)
     merged = made.repartition(F.col("block")).mapInArrow(_merge, "block int, bits binary")
     bits = np.zeros((SKETCH_ROWS * cells // BLOCK, BLOCK // 8), np.uint8)
     for r in merged.collect():
@@ -316,7 +316,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """(doc_id, th, first, last) of each different document that loses words, stored; th: hash of the text; first, last: arrays of word ranges, the end exclusive."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch(docs, window, anchor))
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
+    src = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text")))
+    src = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "text")
     rows = materialise(src.mapInArrow(_suspects(shared, window, anchor), _ROW), "substring-rows")
     # a part sends each window once, so a window of very many documents has a row a part, not a document
     each = rows.where(F.col("h").isNotNull()).select("part", F.posexplode(F.arrays_zip("h", "more")).alias("number", "w")).select("part", "number", "w.h", "w.more")
@@ -335,7 +336,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     ranges = repeated_ranges(docs, window, anchor)
     side = small_side(ranges.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "first", "last"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.xxhash64(docs["text"]).alias("th"))
+    texts = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.xxhash64(docs["text"]).alias("th")))
     cut = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("doc_id", "text", "first", "last")
     return cut.mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
