@@ -43,7 +43,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt to all cores if its files make fewer splits than there are cores; anything larger stays as it is."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # whole files, whatever columns are read
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
 
 
