@@ -11,8 +11,10 @@ similarity asked for.
 
 Links are confirmed on full sets. Candidates are first clustered, and each class
 is compared with its cluster's centre; then every candidate whose ends are still
-apart is compared itself. Connected components of the confirmed links, by
-contraction, give the result.
+apart is compared itself. Prefix runs longer than the neighbours of one class
+reach are then compared completely, in blocks, except for pairs connected
+already. Connected components of the confirmed links, by contraction, give the
+result.
 
 Defined results: null or blank text has no shingles and is linked with nothing;
 shorter texts are one shingle; a null id never becomes a component's id unless
@@ -44,6 +46,8 @@ NEIGHBOURS = 6
 #: Documents compared with one copy of a centre's text.
 COMPARED = 32
 CHUNK_WORDS = 200_000
+#: Classes of a long run on either side of a block.
+BLOCK = 512
 
 _K = TREES * DEPTH
 _rng = np.random.default_rng(20240229)
@@ -108,34 +112,56 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(depth: int, least: int, reach: int):
+    """Pairs (a, b) of neighbours, and the runs (tree, prefix) they may not cover: longer ones, and a partition's first and last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, key, rows, first = None, None, 0, True
         for b in batches:
             if not b.num_rows:
                 continue
             tree, cid, n = (b.column(i).to_numpy() for i in (0, 2, 3))
             label = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u2").reshape(-1, depth)
+            starts = np.flatnonzero(np.concatenate([[True], (label[1:, :least] != label[:-1, :least]).any(1) | (tree[1:] != tree[:-1])]))
+            lengths = np.diff(starts, append=len(cid))
+            name = lambda k: (int(tree[starts[k]]), label[starts[k], :least].astype(">u2").tobytes())  # noqa: B023, E731
+            runs = []
+            if name(0) == key:
+                rows += int(lengths[0])
+            else:
+                if key is not None and (first or rows > reach + 1):
+                    runs.append(key)
+                first, key, rows = key is None, name(0), int(lengths[0])
+            if len(starts) > 1:
+                if first or rows > reach + 1:
+                    runs.append(key)
+                runs += [name(k) for k in np.flatnonzero(lengths[1:-1] > reach + 1) + 1]
+                first, key, rows = False, name(len(starts) - 1), int(lengths[-1])
             old = 0
             if kept is not None:
                 old = len(kept[0])
                 tree, label, cid, n = (np.concatenate(x) for x in zip(kept, (tree, label, cid, n)))
-            pairs = []
+            pairs = [(np.zeros(0, np.int64),) * 2]
             for j in range(1, min(reach, len(cid) - 1) + 1):
                 near = (label[j:, :least] == label[:-j, :least]).all(1) & (tree[j:] == tree[:-j])
                 near &= 100 * np.minimum(n[j:], n[:-j]) >= PERCENT * np.maximum(n[j:], n[:-j])
                 near[: max(0, old - j)] = False  # seen with the last batch
-                if j > 1:  # equal labels are linked through their neighbours
-                    near &= (label[j:] != label[:-j]).any(1)
                 i = np.flatnonzero(near)
                 pairs.append((np.minimum(cid[i], cid[i + j]), np.maximum(cid[i], cid[i + j])))
             kept = tree[-reach:], label[-reach:], cid[-reach:], n[-reach:]
-            if pairs:
-                both = np.unique(np.stack([np.concatenate([p[k] for p in pairs]) for k in (0, 1)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            yield _pairs_and_runs(np.unique(np.stack([np.concatenate([p[k] for p in pairs]) for k in (0, 1)], 1), axis=0), runs)
+        if key is not None:
+            yield _pairs_and_runs(np.zeros((0, 2), np.int64), [key])
 
     return run
 
 
+def _pairs_and_runs(both: np.ndarray, runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    p, r = [None] * len(both), [None] * len(runs)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(both[:, 0].tolist() + r, pa.int64()), pa.array(both[:, 1].tolist() + r, pa.int64()), pa.array(p + [t for t, _ in runs], pa.int32()), pa.array(p + [x for _, x in runs], pa.binary())],
+        ["a", "b", "tree", "prefix"])
+
+
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -177,14 +203,115 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int =
     return materialise(seen.mapInArrow(_compare(size, percent), "a bigint, b bigint").distinct(), "neardup-links")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, as a table for each of its values."""
+    parts: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if parts and parts[0].column(0)[0].as_py() != k[lo]:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            parts.append(b.slice(lo, hi - lo))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _agreeing(least_agreement: float):
+    """Of blocks (key, tree, inner, block, cid, n, root, sig): each class of a block with the others it must be compared with.
+
+    A pair is left to the first tree in which it shares a prefix.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            key, tree, inner = (g.column(i)[0].as_py() for i in (0, 1, 2))
+            block, cid, n, root = (g.column(i).to_numpy() for i in (3, 4, 5, 6))
+            sig = np.frombuffer(b"".join(g.column(7).to_pylist()), np.uint16).reshape(-1, _K)
+            others: dict[int, list[int]] = {}
+            for i in range(len(cid)):
+                j = np.arange(i + 1, len(cid))
+                apart = root[j] != root[i]
+                if not inner:
+                    apart &= block[j] != block[i]
+                j = j[apart & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+                same = sig[j] == sig[i]
+                near = same.mean(1) >= least_agreement
+                near &= ~same.reshape(-1, TREES, DEPTH)[:, :tree, :LEAST_DEPTH].all(2).any(1)
+                if near.any():
+                    others.setdefault(int(cid[i]), []).extend(cid[j[near]].tolist())
+                    for x in cid[j[near]].tolist():
+                        others.setdefault(x, [])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(others), pa.int64()), pa.array(list(others), pa.int64()), pa.array(list(others.values()), pa.list_(pa.int64()))], ["key", "cid", "others"])
+
+    return run
+
+
+def _compare_blocks(size: int, percent: int):
+    """Links (a, b) that connect what is similar enough in blocks (key, cid, others, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for g in _groups(batches):
+            cids, others = g.column(1).to_pylist(), g.column(2).to_pylist()
+            sets = dict(zip(cids, shingle_sets(g.column(3).cast(pa.binary()).to_pylist(), hashes, size)))
+            top = {c: c for c in cids}
+
+            def find(x: int) -> int:
+                while top[x] != x:  # noqa: B023
+                    top[x] = x = top[top[x]]  # noqa: B023
+                return x
+
+            out = []
+            for c, xs in zip(cids, others):
+                for x in xs:
+                    if find(c) != find(x):
+                        a, b = sets[c], sets[x]
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if 100 * both >= percent * (len(a) + len(b) - both):
+                            top[find(c)] = find(x)
+                            out.append((c, x))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _long_runs(runs: DataFrame, trees: DataFrame, links: DataFrame, leaders: DataFrame, docs: DataFrame, least_agreement: float, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between the components of ``links`` in stored prefix runs (tree, prefix), all pairs compared."""
+    root = components(links, "neardup-linked").withColumnRenamed("v", "_v")
+    keys = small_side(runs.select(F.col("tree").alias("_t"), F.col("prefix").alias("_p")))
+    members = trees.withColumn("prefix", F.substring("label", 1, 2 * LEAST_DEPTH)).join(keys, (F.col("tree") == F.col("_t")) & (F.col("prefix") == F.col("_p"))).select("tree", "prefix", "cid", "n")
+    members = materialise(members.join(root, F.col("cid") == F.col("_v"), "left").select("tree", "prefix", "cid", "n", F.coalesce("root", "cid").alias("root")), "neardup-runs")
+    mixed = members.groupBy(F.col("tree").alias("_t"), F.col("prefix").alias("_p")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mixed = small_side(materialise(mixed.where("lo <> hi").drop("lo", "hi"), "neardup-mixed"))
+    blocks = members.join(mixed, (F.col("tree") == F.col("_t")) & (F.col("prefix") == F.col("_p"))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    blocks = blocks.join(leaders.select(F.col("cid").alias("_c"), "sig"), F.col("cid") == F.col("_c"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("tree", "prefix", F.least("block", "other"), F.greatest("block", "other"))
+    blocks = blocks.select(key.alias("key"), "tree", (F.col("block") == F.col("other")).alias("inner"), "block", "cid", "n", "root", "sig")
+    blocks = blocks.repartition("key").sortWithinPartitions("key")
+    found = materialise(blocks.mapInArrow(_agreeing(least_agreement), "key bigint, cid bigint, others array<bigint>"), "neardup-blocks")
+    found = found.join(leaders.select(F.col("cid").alias("_c"), F.col("doc_id").alias("_id"), F.col("th").alias("_th")), F.col("cid") == F.col("_c"))
+    found = small_side(materialise(found.select("key", "cid", "others", "_id", "_th"), "neardup-roles"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
+    seen = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("key", "cid", "others", "text")
+    seen = seen.repartition("key").sortWithinPartitions("key")
+    return materialise(seen.mapInArrow(_compare_blocks(size, PERCENT), "a bigint, b bigint").distinct(), "neardup-links")
+
+
 def _stars(rated: DataFrame, leaders: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links (a: centre, b) of candidate clusters to their centres.
 
     The centre is the class that agrees most with its candidates: in a group of
     copies of one text that is the text itself, even if no two copies are similar
     enough. Clusters that still have more unlinked classes than the neighbours
-    of one class cover are clustered again without the linked ones, until none
-    of them finds a link any more.
+    of one class cover are clustered again without the linked ones, while a tenth
+    of the classes finds links. This only saves work: what is left apart is
+    compared by the caller.
     """
     both = rated.select(F.col("a").alias("v"), "agree").unionAll(rated.select("b", "agree"))
     central = materialise(both.groupBy(F.col("v").alias("_c")).agg(F.avg("agree").alias("mean")), "neardup-central")
@@ -197,6 +324,8 @@ def _stars(rated: DataFrame, leaders: DataFrame, docs: DataFrame) -> DataFrame:
         placed = materialise(cluster.join(centre, F.col("root") == F.col("_r")).select("v", "root", "centre", "size"), "neardup-placed")
         new = confirmed(placed.where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b")), leaders, docs)
         links = new if links is None else links.unionByName(new)
+        if 10 * new.count() < placed.count():
+            return links
         got = materialise(new.groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("got")), "neardup-got")
         unlinked = placed.where("v <> centre").join(got.where("got > 0"), F.col("centre") == F.col("_a")).where(F.col("size") - 1 - F.col("got") > NEIGHBOURS)
         done = new.select(F.col("b").alias("_b"))
@@ -222,8 +351,11 @@ def link(docs: DataFrame) -> DataFrame:
     leaders = materialise(leaders, "neardup-leaders")
     # the forest; labels are big-endian so that bytes sort as values do
     trees = leaders.select("cid", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label")))).alias("x"))
-    trees = trees.select("x.tree", "x.label", "cid", "n").repartitionByRange("tree", "label", "cid").sortWithinPartitions("tree", "label", "cid")
-    pairs = trees.mapInArrow(_neighbours(DEPTH, LEAST_DEPTH, NEIGHBOURS), "a bigint, b bigint").distinct()
+    trees = trees.select("x.tree", "x.label", "cid", "n")
+    forest = trees.repartitionByRange("tree", "label", "cid").sortWithinPartitions("tree", "label", "cid")
+    forest = materialise(forest.mapInArrow(_neighbours(DEPTH, LEAST_DEPTH, NEIGHBOURS), "a bigint, b bigint, tree int, prefix binary").distinct(), "neardup-neighbours")
+    pairs = forest.where("a is not null").select("a", "b")
+    runs = materialise(forest.where("a is null").select("tree", "prefix").distinct(), "neardup-long")
     sig = leaders.select(F.col("cid").alias("_c"), "sig")
     rated = pairs.join(sig, F.col("a") == F.col("_c")).select("a", "b", F.col("sig").alias("x"))
     rated = rated.join(sig, F.col("b") == F.col("_c")).select("a", "b", "x", F.col("sig").alias("y"))
@@ -235,7 +367,9 @@ def link(docs: DataFrame) -> DataFrame:
     apart = rated.join(home, F.col("a") == F.col("_v"), "left").select("a", "b", F.coalesce("_home", "a").alias("ha"))
     apart = apart.join(home, F.col("b") == F.col("_v"), "left").select("a", "b", "ha", F.coalesce("_home", "b").alias("hb")).where("ha <> hb")
     rest = confirmed(materialise(apart.select("a", "b").distinct(), "neardup-apart"), leaders, docs)
-    root = components(near.unionByName(rest), "neardup-components")
+    links = near.unionByName(rest)
+    links = links.unionByName(_long_runs(runs, trees, links, leaders, docs, PERCENT / 100 - slack))
+    root = components(links, "neardup-components")
     # a component's first document; classes that stand alone with one row keep their own
     placed = classes.join(root, F.col("cid") == F.col("v"), "left").select("s1", "s2", F.coalesce("root", "cid").alias("root"), "m", "rows")
     firsts = materialise(placed.groupBy("root").agg(F.min("m").alias("first"), F.sum("rows").alias("members")).where("members > 1").select(F.col("root").alias("_root"), "first"), "neardup-firsts")

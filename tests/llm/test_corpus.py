@@ -148,6 +148,30 @@ def test_copies_that_only_resemble_their_original(spark):
     assert got == {rows[i][0]: c for i, c in want.items()} and list(got.values()).count(0) > 100
 
 
+def test_neighbours_reach_past_an_unlike_one_of_equal_label():
+    import pyarrow as pa
+
+    label = np.arange(8, dtype=">u2").tobytes()
+    b = pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int32()), pa.array([label] * 3, pa.binary()), pa.array([1, 2, 3], pa.int64()), pa.array([100, 50, 100], pa.int64())], ["tree", "label", "cid", "n"])
+    out = [(x, y) for o in neardup._neighbours(8, 3, 6)(iter([b])) for x, y in zip(o.column(0).to_pylist(), o.column(1).to_pylist()) if x is not None]
+    assert out == [(1, 3)]
+
+
+def test_links_in_a_crowd_of_texts_that_only_resemble_each_other(spark):
+    rng = np.random.default_rng(5)
+    common = long_text(78, 300)
+    rows = []
+    for k in range(40):  # two texts with 305 of 381 shingles or so in common; all others share 297 of 385
+        shared = long_text(1000 + k, 12)
+        for side in (0, 1):
+            own = " ".join(f"o{k}x{side}x{x}" for x in rng.integers(10**6, size=32))
+            rows.append((2 * k + side, f"{common} {shared} {own}"))
+    want, _ = brute.components(rows)
+    got = {r.doc_id: r.component_id for r in neardup.link(table(spark, rows)).collect()}
+    assert len(set(want.values())) == 40
+    assert got == {rows[i][0]: c for i, c in want.items()}
+
+
 def test_neardup_keeps_one(spark, awkward):
     got = [r.doc_id for r in neardup.keep_first(awkward).collect()]
     # blank texts all stay; one of each group; one of two equal rows
