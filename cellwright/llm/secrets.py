@@ -1,7 +1,8 @@
 """Secret scan: candidate tokens, judged by a random forest.
 
 Candidates are long tokens with digits or mixed case, values assigned to names
-like "password", and private-key headers. The forest sees a candidate's length,
+like "password", and private keys: from the header to the END line, or to the
+end of the lines that look like a key. The forest sees a candidate's length,
 its character classes and transitions (how often the class changes; how likely
 its letter pairs are in ordinary words), its coverage by a dictionary, whether
 it is part of a path or address, and its neighbouring words, and removes false
@@ -9,7 +10,7 @@ positives. It is trained on labelled findings: those given (at most
 ``MAX_FINDINGS`` are used) or else a generated set, always with the same seed.
 
 Defined results: null or empty text has no findings; overlapping candidates
-count once, the earlier first; repeated rows are scanned each; an empty table
+count once, the earlier first, of two from one place the longer; repeated rows are scanned each; an empty table
 gives an empty result; redacting leaves other columns as they are.
 """
 
@@ -46,8 +47,13 @@ DICTIONARY = (
 
 _WORTH = re.compile(r"[0-9]|(?i:passw|pwd|secret)|PRIVATE KEY")
 _RUN = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}+")
-_ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret)[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"']{6,200})")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+_ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret)[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"']{6,}+)")
+_HEADER = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+_BREAK = r"(?:\s|\\[nr])+"
+_PEM = re.compile(
+    _HEADER + r"(?:(?:(?!-----BEGIN )[A-Za-z0-9+/=:,.\s\\-])*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:[ \t\r]*\n[A-Za-z0-9+/]+={{0,2}}(?=\s*(?:\n|\Z)))?)?")
+_HEADER = re.compile(_HEADER)
 _WORDS = re.compile(r"[A-Za-z0-9_]+")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -83,7 +89,7 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
         if len(token) >= 16 and (any("0" <= c <= "9" for c in token) or inner != inner.lower() and inner != inner.upper()):
             found.append((start, end, "token"))
     found += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
-    found.sort()
+    found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for x in found:
         if not out or x[0] >= out[-1][1]:
@@ -99,6 +105,8 @@ FEATURES = (
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
     """The forest's view of one candidate (see FEATURES)."""
+    if kind == "private key":  # judged by its header
+        end = _HEADER.match(text, start).end()
     t = text[start:end]
     n = len(t)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in t]
