@@ -10,6 +10,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,19 +48,45 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 _roots: dict[str, SparkSession] = {}
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Delete the tables stored inside the block when it ends, but for those put into ``keep``.
+
+    What is kept belongs to the scope around this one, if there is one.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        mine = _scopes.pop()
+        kept = {df.stored_at for df in keep}
+        for path in mine:
+            if path in kept and _scopes:
+                _scopes[-1].append(path)
+            elif path not in kept:
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application. Results not yet consumed become unreadable."""
-    root = _root(spark)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _roots.pop(root, None)
+    _delete(spark, _root(spark))
+    _roots.pop(_root(spark), None)
 
 
 def _at_exit() -> None:
