@@ -9,6 +9,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import cellwright
 
@@ -19,8 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[cellwright.__name__])
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a joined side may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a joined side may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -29,23 +30,26 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a stored table has at most ``rows`` rows."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table has at most ``rows`` rows and about ``size`` bytes. Reads ``rows`` + 1 rows at most."""
+    some = df.limit(rows + 1)
+    open_ended = [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType | T.ArrayType | T.MapType | T.StructType)]
+    width = F.lit(16 * len(df.columns))
+    if open_ended:
+        width = width + F.coalesce(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in open_ended]))), F.lit(0))
+    n, total = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).head()
+    return n <= rows and total <= size
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` hinted for broadcast if it is a stored table of at most ``rows`` rows, else unchanged."""
+    """``df`` hinted for broadcast if it is a stored table of bounded rows and bytes, else unchanged."""
     return F.broadcast(df) if is_small(df, rows) else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores if its files make fewer splits than there are cores; anything larger stays as it is."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # whole files, whatever columns are read
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+    """``df``, dealt out again if it has fewer partitions than there are cores, as a table in one row group has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def arrow_batches(spark: SparkSession, rows: int = 2_000, megabytes: int = 32) -> None:

@@ -9,12 +9,18 @@ longer prefixes, so the depth adapts to the region. Candidates whose signatures
 agree too little are dropped; the threshold lies four standard errors below the
 similarity asked for.
 
-Links are confirmed on full sets. Candidates are first clustered, and each class
-is compared with its cluster's centre; then every candidate whose ends are still
-apart is compared itself. Prefix runs longer than the neighbours of one class
-reach are then compared completely, in blocks, except for pairs connected
-already. Connected components of the confirmed links, by contraction, give the
-result.
+Links are confirmed on full sets, in a fixed number of passes:
+
+* candidates are clustered once, and each class is compared with its cluster's
+  centre, which connects groups of copies of one text at a text a class;
+* the crowd: classes in prefix runs longer than the neighbours of one class
+  reach, unless the centres have connected the whole run. Among these, an exact
+  join on rare shingles finds all pairs that can be similar enough: with a class's
+  shingles in order of how many classes of the crowd have them, two similar sets
+  share one early in both orders, so what a template shares never meets;
+* all other candidates whose ends are still apart are compared themselves.
+
+Connected components of the confirmed links, by contraction, give the result.
 
 Defined results: null or blank text has no shingles and is linked with nothing;
 shorter texts are one shingle; a null id never becomes a component's id unless
@@ -35,9 +41,10 @@ from pyspark.sql import functions as F
 from cellwright.llm.common import WordHashes, arrow_batches, mix64, small_side, spread
 from cellwright.llm.components import components
 from cellwright.llm.substrings import rolling
-from cellwright.sources.scratch import materialise
+from cellwright.sources.scratch import materialise, scope
 
-SHINGLE = 4
+#: Words of a shingle: of the op3 query, and of a filtering stage.
+SHINGLE, STAGE_SHINGLE = 4, 5
 PERCENT = 80
 TREES = 16
 DEPTH = 8
@@ -46,8 +53,8 @@ NEIGHBOURS = 6
 #: Documents compared with one copy of a centre's text.
 COMPARED = 32
 CHUNK_WORDS = 200_000
-#: Classes of a long run on either side of a block.
-BLOCK = 512
+#: Shingles in an Arrow batch.
+BATCH_SHINGLES = 500_000
 
 _K = TREES * DEPTH
 _rng = np.random.default_rng(20240229)
@@ -90,25 +97,31 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 _ROW = "rid bigint, doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, sig binary"
 
 
-def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for b in batches:
-        sets = shingle_sets(b.column(3).cast(pa.binary()).to_pylist(), hashes)
-        full = [s for s in sets if len(s)]
-        sigs: list[bytes] = []
-        k = 0
-        while k < len(full):
-            m, n = k, 0
-            while m < len(full) and n < CHUNK_WORDS:
-                n += len(full[m])
-                m += 1
-            sigs += [r.tobytes() for r in signatures(full[k:m])]
-            k = m
-        each = iter(sigs)
-        ids = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for k in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([next(each) if len(s) else None for s in sets], pa.binary())],
-            ["rid", "doc_id", "th", "n", "s1", "s2", "sig"])
+def _summarise(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            yield _summary(b, shingle_sets(b.column(3).cast(pa.binary()).to_pylist(), hashes, size))
+
+    return run
+
+
+def _summary(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+    full = [s for s in sets if len(s)]
+    sigs: list[bytes] = []
+    k = 0
+    while k < len(full):
+        m, n = k, 0
+        while m < len(full) and n < CHUNK_WORDS:
+            n += len(full[m])
+            m += 1
+        sigs += [r.tobytes() for r in signatures(full[k:m])]
+        k = m
+    each = iter(sigs)
+    ids = np.array([[xxhash.xxh3_64_intdigest(s.tobytes(), seed=k) for k in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [*b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([next(each) if len(s) else None for s in sets], pa.binary())],
+        ["rid", "doc_id", "th", "n", "s1", "s2", "sig"])
 
 
 def _neighbours(depth: int, least: int, reach: int):
@@ -189,201 +202,176 @@ def _compare(size: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a: centre, b) of stored ``pairs`` whose full sets are similar enough, stored."""
-    sizes = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("salts"))
-    sizes = materialise(sizes, "neardup-centres")
-    centres = sizes.select(F.col("_a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("_a").alias("cid"))
-    others = pairs.join(sizes, F.col("a") == F.col("_a")).select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("cid"))
-    roles = centres.unionByName(others).withColumnRenamed("cid", "_c").join(classes.select("cid", "doc_id", "th"), F.col("_c") == F.col("cid"))
-    roles = small_side(materialise(roles.select("centre", "salt", "role", "cid", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "neardup-roles"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
-    seen = texts.join(roles, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("centre", "salt", "role", "cid", "text")
-    seen = seen.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
-    return materialise(seen.mapInArrow(_compare(size, percent), "a bigint, b bigint").distinct(), "neardup-links")
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by their first column, as a table for each of its values."""
-    parts: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if parts and parts[0].column(0)[0].as_py() != k[lo]:
-                yield pa.Table.from_batches(parts)
-                parts = []
-            parts.append(b.slice(lo, hi - lo))
-    if parts:
-        yield pa.Table.from_batches(parts)
-
-
-def _agreeing(least_agreement: float):
-    """Of blocks (key, tree, inner, block, cid, n, root, sig): each class of a block with the others it must be compared with.
-
-    A pair is left to the first tree in which it shares a prefix.
-    """
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches):
-            key, tree, inner = (g.column(i)[0].as_py() for i in (0, 1, 2))
-            block, cid, n, root = (g.column(i).to_numpy() for i in (3, 4, 5, 6))
-            sig = np.frombuffer(b"".join(g.column(7).to_pylist()), np.uint16).reshape(-1, _K)
-            others: dict[int, list[int]] = {}
-            for i in range(len(cid)):
-                j = np.arange(i + 1, len(cid))
-                apart = root[j] != root[i]
-                if not inner:
-                    apart &= block[j] != block[i]
-                j = j[apart & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
-                same = sig[j] == sig[i]
-                near = same.mean(1) >= least_agreement
-                near &= ~same.reshape(-1, TREES, DEPTH)[:, :tree, :LEAST_DEPTH].all(2).any(1)
-                if near.any():
-                    others.setdefault(int(cid[i]), []).extend(cid[j[near]].tolist())
-                    for x in cid[j[near]].tolist():
-                        others.setdefault(x, [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(others), pa.int64()), pa.array(list(others), pa.int64()), pa.array(list(others.values()), pa.list_(pa.int64()))], ["key", "cid", "others"])
 
-    return run
+def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Stored ``wanted`` rows (_id, _th and others) with the texts of their documents."""
+    side = small_side(wanted)
+    return _keyed(docs).join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).drop("doc_id", "th", "_id", "_th")
 
 
-def _compare_blocks(size: int, percent: int):
-    """Links (a, b) that connect what is similar enough in blocks (key, cid, others, text)."""
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a: centre, b) of stored ``pairs`` whose full sets are similar enough, stored."""
+    kept: list[DataFrame] = []
+    with scope(docs.sparkSession, kept):
+        sizes = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("salts"))
+        sizes = materialise(sizes, "neardup-centres")
+        centres = sizes.select(F.col("_a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("_a").alias("_c"))
+        others = pairs.join(sizes, F.col("a") == F.col("_a")).select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("_c"))
+        roles = centres.unionByName(others).join(classes.select("cid", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), F.col("_c") == F.col("cid"))
+        roles = materialise(roles.select("centre", "salt", "role", "cid", "_id", "_th"), "neardup-roles")
+        seen = _with_text(docs, roles).select("centre", "salt", "role", "cid", "text")
+        seen = seen.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
+        kept.append(materialise(seen.mapInArrow(_compare(size, percent), "a bigint, b bigint").distinct(), "neardup-links"))
+    return kept[0]
+
+
+def _shingles(size: int):
+    """(cid, tok) of every shingle of (cid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for g in _groups(batches):
-            cids, others = g.column(1).to_pylist(), g.column(2).to_pylist()
-            sets = dict(zip(cids, shingle_sets(g.column(3).cast(pa.binary()).to_pylist(), hashes, size)))
-            top = {c: c for c in cids}
-
-            def find(x: int) -> int:
-                while top[x] != x:  # noqa: B023
-                    top[x] = x = top[top[x]]  # noqa: B023
-                return x
-
-            out = []
-            for c, xs in zip(cids, others):
-                for x in xs:
-                    if find(c) != find(x):
-                        a, b = sets[c], sets[x]
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if 100 * both >= percent * (len(a) + len(b) - both):
-                            top[find(c)] = find(x)
-                            out.append((c, x))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+        for b in batches:
+            cid, sets = b.column(0).to_numpy(), shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), hashes, size)
+            ends = np.cumsum([len(s) for s in sets])
+            k = 0
+            while k < len(sets):
+                m = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + BATCH_SHINGLES)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[k:m], [len(s) for s in sets[k:m]])), pa.array(np.concatenate(sets[k:m]).view(np.int64))], ["cid", "tok"])
+                k = m
 
     return run
 
 
-def _long_runs(runs: DataFrame, trees: DataFrame, links: DataFrame, leaders: DataFrame, docs: DataFrame, least_agreement: float, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between the components of ``links`` in stored prefix runs (tree, prefix), all pairs compared."""
-    root = components(links, "neardup-linked").withColumnRenamed("v", "_v")
-    keys = small_side(runs.select(F.col("tree").alias("_t"), F.col("prefix").alias("_p")))
-    members = trees.withColumn("prefix", F.substring("label", 1, 2 * LEAST_DEPTH)).join(keys, (F.col("tree") == F.col("_t")) & (F.col("prefix") == F.col("_p"))).select("tree", "prefix", "cid", "n")
-    members = materialise(members.join(root, F.col("cid") == F.col("_v"), "left").select("tree", "prefix", "cid", "n", F.coalesce("root", "cid").alias("root")), "neardup-runs")
-    mixed = members.groupBy(F.col("tree").alias("_t"), F.col("prefix").alias("_p")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    mixed = small_side(materialise(mixed.where("lo <> hi").drop("lo", "hi"), "neardup-mixed"))
-    blocks = members.join(mixed, (F.col("tree") == F.col("_t")) & (F.col("prefix") == F.col("_p"))).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    blocks = blocks.join(leaders.select(F.col("cid").alias("_c"), "sig"), F.col("cid") == F.col("_c"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.xxhash64("tree", "prefix", F.least("block", "other"), F.greatest("block", "other"))
-    blocks = blocks.select(key.alias("key"), "tree", (F.col("block") == F.col("other")).alias("inner"), "block", "cid", "n", "root", "sig")
-    blocks = blocks.repartition("key").sortWithinPartitions("key")
-    found = materialise(blocks.mapInArrow(_agreeing(least_agreement), "key bigint, cid bigint, others array<bigint>"), "neardup-blocks")
-    found = found.join(leaders.select(F.col("cid").alias("_c"), F.col("doc_id").alias("_id"), F.col("th").alias("_th")), F.col("cid") == F.col("_c"))
-    found = small_side(materialise(found.select("key", "cid", "others", "_id", "_th"), "neardup-roles"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
-    seen = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("key", "cid", "others", "text")
-    seen = seen.repartition("key").sortWithinPartitions("key")
-    return materialise(seen.mapInArrow(_compare_blocks(size, PERCENT), "a bigint, b bigint").distinct(), "neardup-links")
-
-
-def _stars(rated: DataFrame, leaders: DataFrame, docs: DataFrame) -> DataFrame:
+def crowd_pairs(crowd: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) with different roots among all classes of stored ``crowd`` (cid, root, n, _id, _th), stored; no pair that is similar enough is missing.
+
+    Let t be the similarity and x, y two sets, ordered alike by rareness. If they
+    are similar enough they share t / (1 + t) (|x| + |y|) shingles, so at least so
+    many follow their first common one (itself included) in both. A shingle at some place of a set of
+    n thus bounds the size of a partner that is first met there from above
+    (``hi``); the smaller set must meet its partner at a place where its own size
+    passes the bound. Shingles that only one class has meet no one but take the
+    first places.
+    """
+    kept: list[DataFrame] = []
+    with scope(docs.sparkSession, kept):
+        texts = _with_text(docs, crowd.select("cid", "_id", "_th")).select("cid", "text")
+        tokens = materialise(texts.mapInArrow(_shingles(size), "cid bigint, tok bigint"), "neardup-shingles")
+        shared = tokens.groupBy(F.col("tok").alias("_t")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        ranked = tokens.join(shared, F.col("tok") == F.col("_t")).groupBy(F.col("cid").alias("_c")).agg(F.sort_array(F.collect_set(F.struct("df", "tok"))).alias("s"))
+        ranked = ranked.join(crowd.select("cid", "root", "n"), F.col("_c") == F.col("cid"))
+        # places count from 0; the last one that can meet anyone leaves t n shingles
+        last = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long")
+        own = F.col("n") - F.size("s")
+        early = ranked.where(last >= own).select("cid", "root", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), (last - own + 1).cast("int"))).alias("i", "x"))
+        left = F.col("n") - F.col("own") - F.col("i")
+        early = early.select("cid", "root", "n", F.col("x.tok").alias("tok"), F.floor(left * (100 + percent) / percent + 1e-6).cast("long").alias("sum"))
+        early = materialise(early.withColumn("hi", F.col("sum") - F.col("n")).drop("sum"), "neardup-early")
+        mixed = early.groupBy(F.col("tok").alias("_t")).agg(F.min("root").alias("lo"), F.max("root").alias("up")).where("lo <> up").select("_t")
+        early = materialise(early.join(mixed, F.col("tok") == F.col("_t"), "left_semi"), "neardup-meetings")
+        small = early.where("hi >= n").select(*[F.col(c).alias(f"s_{c}") for c in early.columns])
+        meet = (
+            (F.col("tok") == F.col("s_tok")) & (F.col("n") >= F.col("s_n")) & (F.col("n") <= F.col("s_hi")) & (F.col("s_n") <= F.col("hi")) & (100 * F.col("s_n") >= percent * F.col("n"))
+            & (F.col("root") != F.col("s_root")) & ((F.col("n") > F.col("s_n")) | (F.col("cid") > F.col("s_cid"))))
+        pairs = early.join(small, meet).select(F.least("cid", "s_cid").alias("a"), F.greatest("cid", "s_cid").alias("b")).distinct()
+        kept.append(materialise(pairs, "neardup-crowd-pairs"))
+    return kept[0]
+
+
+def _rated(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough, with their agreement, stored."""
+    sig = leaders.select(F.col("cid").alias("_c"), "sig")
+    rated = pairs.join(sig, F.col("a") == F.col("_c")).select("a", "b", F.col("sig").alias("x"))
+    rated = rated.join(sig, F.col("b") == F.col("_c")).select("a", "b", "x", F.col("sig").alias("y"))
+    slack = 4 * (PERCENT * (100 - PERCENT) / _K) ** 0.5 / 100
+    return materialise(rated.mapInArrow(_agreement, "a bigint, b bigint, agree double").where(F.col("agree") >= PERCENT / 100 - slack), "neardup-candidates")
+
+
+def _stars(rated: DataFrame, leaders: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Confirmed links (a: centre, b) of candidate clusters to their centres.
 
     The centre is the class that agrees most with its candidates: in a group of
     copies of one text that is the text itself, even if no two copies are similar
-    enough. Clusters that still have more unlinked classes than the neighbours
-    of one class cover are clustered again without the linked ones, while a tenth
-    of the classes finds links. This only saves work: what is left apart is
-    compared by the caller.
+    enough. This only saves work: what is left apart is compared by the caller.
     """
     both = rated.select(F.col("a").alias("v"), "agree").unionAll(rated.select("b", "agree"))
-    central = materialise(both.groupBy(F.col("v").alias("_c")).agg(F.avg("agree").alias("mean")), "neardup-central")
-    edges, links = rated.select("a", "b"), None
-    while True:
-        cluster = components(edges, "neardup-clusters")
-        rank = F.struct(F.col("mean").alias("m"), (-F.col("v")).alias("v"))
-        centre = cluster.join(central, F.col("v") == F.col("_c")).groupBy(F.col("root").alias("_r")).agg(F.max_by("v", rank).alias("centre"), F.count(F.lit(1)).alias("size"))
-        centre = materialise(centre, "neardup-centre")
-        placed = materialise(cluster.join(centre, F.col("root") == F.col("_r")).select("v", "root", "centre", "size"), "neardup-placed")
-        new = confirmed(placed.where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b")), leaders, docs)
-        links = new if links is None else links.unionByName(new)
-        if 10 * new.count() < placed.count():
-            return links
-        got = materialise(new.groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("got")), "neardup-got")
-        unlinked = placed.where("v <> centre").join(got.where("got > 0"), F.col("centre") == F.col("_a")).where(F.col("size") - 1 - F.col("got") > NEIGHBOURS)
-        done = new.select(F.col("b").alias("_b"))
-        unlinked = materialise(unlinked.join(done, F.col("v") == F.col("_b"), "left_anti").select("v"), "neardup-unlinked")
-        if not unlinked.head(1):
-            return links
-        edges = edges.join(unlinked, F.col("a") == F.col("v"), "left_semi").join(unlinked, F.col("b") == F.col("v"), "left_semi")
-        edges = materialise(edges, "neardup-open")
-        if not edges.head(1):
-            return links
-
-
-def link(docs: DataFrame) -> DataFrame:
-    """Per row: rid, doc_id, th, n_shingles, component_id, and ``first``: whether the row stands for its component."""
-    arrow_batches(docs.sparkSession)
-    src = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text")))
-    src = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "text")
-    rows = materialise(src.mapInArrow(_summarise, _ROW), "neardup-rows")
-    leader = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(leader.alias("m"), F.count(F.lit(1)).alias("rows"))
-    classes = materialise(classes.select("s1", "s2", F.col("m.rid").alias("cid"), "m", "rows"), "neardup-classes")
-    leaders = rows.join(classes.select("cid"), F.col("rid") == F.col("cid")).select("cid", "doc_id", "th", "n", "sig")
-    leaders = materialise(leaders, "neardup-leaders")
+    central = both.groupBy(F.col("v").alias("_c")).agg(F.avg("agree").alias("mean"))
+    cluster = components(rated.select("a", "b"), "neardup-clusters")
+    rank = F.struct(F.col("mean").alias("m"), (-F.col("v")).alias("v"))
+    centre = materialise(cluster.join(central, F.col("v") == F.col("_c")).groupBy(F.col("root").alias("_r")).agg(F.max_by("v", rank).alias("centre")), "neardup-centre")
+    placed = cluster.join(centre, F.col("root") == F.col("_r")).where("v <> centre").select(F.col("centre").alias("a"), F.col("v").alias("b"))
+    return confirmed(materialise(placed, "neardup-placed"), leaders, docs, size)
+
+
+def _crowd(runs: DataFrame, trees: DataFrame, root: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(cid, root, n, _id, _th) of the classes in stored prefix runs (tree, prefix) that ``root`` (v, root) doesn't connect, stored."""
+    keys = small_side(runs.select(F.col("tree").alias("_t"), F.col("prefix").alias("_p")))
+    members = trees.withColumn("prefix", F.substring("label", 1, 2 * LEAST_DEPTH)).join(keys, (F.col("tree") == F.col("_t")) & (F.col("prefix") == F.col("_p"))).select("tree", "prefix", "cid")
+    members = materialise(members.join(root, F.col("cid") == F.col("v"), "left").select("tree", "prefix", "cid", F.coalesce("root", "cid").alias("root")), "neardup-runs")
+    mixed = members.groupBy(F.col("tree").alias("_t"), F.col("prefix").alias("_p")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    mixed = small_side(materialise(mixed.drop("lo", "hi"), "neardup-mixed"))
+    crowd = members.join(mixed, (F.col("tree") == F.col("_t")) & (F.col("prefix") == F.col("_p"))).groupBy(F.col("cid").alias("_c")).agg(F.first("root").alias("root"))
+    crowd = crowd.join(leaders.select("cid", "n", F.col("doc_id").alias("_id"), F.col("th").alias("_th")), F.col("_c") == F.col("cid"))
+    return materialise(crowd.select("cid", "root", "n", "_id", "_th"), "neardup-crowd")
+
+
+def _links(leaders: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) that connect what is similar enough, from stored classes (cid, doc_id, th, n, sig)."""
     # the forest; labels are big-endian so that bytes sort as values do
     trees = leaders.select("cid", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label")))).alias("x"))
     trees = trees.select("x.tree", "x.label", "cid", "n")
     forest = trees.repartitionByRange("tree", "label", "cid").sortWithinPartitions("tree", "label", "cid")
     forest = materialise(forest.mapInArrow(_neighbours(DEPTH, LEAST_DEPTH, NEIGHBOURS), "a bigint, b bigint, tree int, prefix binary").distinct(), "neardup-neighbours")
-    pairs = forest.where("a is not null").select("a", "b")
     runs = materialise(forest.where("a is null").select("tree", "prefix").distinct(), "neardup-long")
-    sig = leaders.select(F.col("cid").alias("_c"), "sig")
-    rated = pairs.join(sig, F.col("a") == F.col("_c")).select("a", "b", F.col("sig").alias("x"))
-    rated = rated.join(sig, F.col("b") == F.col("_c")).select("a", "b", "x", F.col("sig").alias("y"))
-    slack = 4 * (PERCENT * (100 - PERCENT) / _K) ** 0.5 / 100
-    rated = materialise(rated.mapInArrow(_agreement, "a bigint, b bigint, agree double").where(F.col("agree") >= PERCENT / 100 - slack), "neardup-candidates")
-    near = _stars(rated, leaders, docs)
-    # candidates whose ends the stars leave apart
-    home = near.select(F.col("b").alias("_v"), F.col("a").alias("_home"))
-    apart = rated.join(home, F.col("a") == F.col("_v"), "left").select("a", "b", F.coalesce("_home", "a").alias("ha"))
-    apart = apart.join(home, F.col("b") == F.col("_v"), "left").select("a", "b", "ha", F.coalesce("_home", "b").alias("hb")).where("ha <> hb")
-    rest = confirmed(materialise(apart.select("a", "b").distinct(), "neardup-apart"), leaders, docs)
-    links = near.unionByName(rest)
-    links = links.unionByName(_long_runs(runs, trees, links, leaders, docs, PERCENT / 100 - slack))
-    root = components(links, "neardup-components")
-    # a component's first document; classes that stand alone with one row keep their own
-    placed = classes.join(root, F.col("cid") == F.col("v"), "left").select("s1", "s2", F.coalesce("root", "cid").alias("root"), "m", "rows")
-    firsts = materialise(placed.groupBy("root").agg(F.min("m").alias("first"), F.sum("rows").alias("members")).where("members > 1").select(F.col("root").alias("_root"), "first"), "neardup-firsts")
-    groups = materialise(placed.join(firsts, F.col("root") == F.col("_root")).select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("first.doc_id").alias("_id"), F.col("first.rid").alias("_rid")), "neardup-groups")
-    out = rows.select("rid", "doc_id", "th", "n", "s1", "s2").join(small_side(groups), (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") > 0), "left")
+    rated = _rated(forest.where("a is not null").select("a", "b"), leaders)
+    near = _stars(rated, leaders, docs, size)
+    root = components(near, "neardup-linked")
+    crowd = _crowd(runs, trees, root, leaders)
+    crowded = _rated(crowd_pairs(crowd, docs, size), leaders).select("a", "b")
+    # candidates whose ends the stars leave apart; the join of the crowd has those with both ends in it
+    home = root.select(F.col("v").alias("_v"), F.col("root").alias("_home"))
+    member = crowd.select(F.col("cid").alias("_m"), F.lit(True).alias("_in"))
+    apart = rated.select("a", "b")
+    for end in ("a", "b"):
+        apart = apart.join(home, F.col(end) == F.col("_v"), "left").join(member, F.col(end) == F.col("_m"), "left")
+        apart = apart.withColumns({f"h{end}": F.coalesce("_home", end), f"in_{end}": F.coalesce("_in", F.lit(False))}).drop("_v", "_home", "_m", "_in")
+    apart = apart.where("ha <> hb and not (in_a and in_b)").select("a", "b")
+    rest = confirmed(materialise(apart.unionByName(crowded).distinct(), "neardup-apart"), leaders, docs, size)
+    return near.unionByName(rest)
+
+
+def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Per row: rid, doc_id, th, n_shingles, component_id, and ``first``: whether the row stands for its component."""
+    arrow_batches(docs.sparkSession)
+    kept: list[DataFrame] = []
+    with scope(docs.sparkSession, kept):
+        src = spread(_keyed(docs)).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "text")
+        rows = materialise(src.mapInArrow(_summarise(size), _ROW), "neardup-rows")
+        leader = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))
+        classes = rows.where("n > 0").groupBy("s1", "s2").agg(leader.alias("m"), F.count(F.lit(1)).alias("rows"))
+        classes = materialise(classes.select("s1", "s2", F.col("m.rid").alias("cid"), "m", "rows"), "neardup-classes")
+        leaders = rows.join(classes.select("cid"), F.col("rid") == F.col("cid")).select("cid", "doc_id", "th", "n", "sig")
+        leaders = materialise(leaders, "neardup-leaders")
+        root = components(_links(leaders, docs, size), "neardup-components")
+        # a component's first document; classes that stand alone with one row keep their own
+        placed = classes.join(root, F.col("cid") == F.col("v"), "left").select("s1", "s2", F.coalesce("root", "cid").alias("root"), "m", "rows")
+        firsts = materialise(placed.groupBy("root").agg(F.min("m").alias("first"), F.sum("rows").alias("members")).where("members > 1").select(F.col("root").alias("_root"), "first"), "neardup-firsts")
+        groups = materialise(placed.join(firsts, F.col("root") == F.col("_root")).select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("first.doc_id").alias("_id"), F.col("first.rid").alias("_rid")), "neardup-groups")
+        kept += [rows, groups]
+        side = small_side(groups)
+    out = rows.select("rid", "doc_id", "th", "n", "s1", "s2").join(side, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") > 0), "left")
     single = F.col("_rid").isNull()
     return out.select(
         "rid", "doc_id", "th", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("_id")).alias("component_id"),
         F.coalesce(F.col("_rid") == F.col("rid"), F.lit(True)).alias("first"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = STAGE_SHINGLE) -> DataFrame:
     """``docs`` with one row of each component, and all rows without words."""
-    state = materialise(link(docs).groupBy("doc_id", "th").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")), "neardup-state")
+    state = materialise(link(docs, size).groupBy("doc_id", "th").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")), "neardup-state")
     key = lambda side: docs["doc_id"].eqNullSafe(side["_id"]) & (F.xxhash64(docs["text"]) == side["_th"])
     some = lambda condition: materialise(state.where(condition).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "neardup-keys")
     drop, again = some("not first"), some("first and rows > 1 and n > 0")
