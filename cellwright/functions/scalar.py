@@ -15,8 +15,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def col(c: Column | str, path: str | None = None, type_name: str = "string") -> Column:
+    """A column; with ``path``, a value inside its variant as a type, null if it isn't there or isn't of the type."""
+    c = F.col(c) if isinstance(c, str) else c
+    return c if path is None else F.try_variant_get(c, path, type_name)
+
+
+def dynamic(c: Column | str) -> Column:
+    """JSON text as a variant, null if it isn't JSON."""
+    return F.try_parse_json(col(c))
 
 
 def _fold(op: Callable[[Column, Column], Column], args: tuple[Column | str, ...]) -> Column:

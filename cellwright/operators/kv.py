@@ -1,9 +1,12 @@
 """Records by key over an append-only change log.
 
 A table is a folder: ``data/`` has one Parquet folder a commit, ``commits/`` one
-small file a commit, created only if no one else has made that commit. Nothing is
-ever changed in place, so a reader pins a version and a failed writer leaves
-nothing that is seen. The current view is the newest change of every key, by
+small file a commit. That file is written aside and takes its final name in one
+atomic step, which fails if another writer has made the commit: a hard link on a
+local file system, a rename that never replaces on HDFS. (Object stores have no
+such step; a table needs a file system that has.) Nothing is ever changed in
+place, so a reader pins a version, and a writer that dies at any point leaves
+nothing that is seen or that holds up others. The current view is the newest change of every key, by
 commit and then by place in the commit; removed keys are left out. It is an
 aggregate with partial results before the shuffle, so a key with very many
 changes is no hot spot. ``compact`` writes the view as a new base, which later
@@ -18,13 +21,14 @@ import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellwright.types import relaxed
 
-META = ("_op", "_commit", "_seq", "_version", "_ts")
+META = ("_op", "_commit", "_seq", "_version", "_ts", "_order")
 PUT, REMOVE = "put", "remove"
 
 
@@ -122,17 +126,29 @@ class RecordTable:
         stream.close()
         final = self._hadoop(f"{self.path}/commits/{version:020d}.json")
         try:
-            claim = self._fs.createNewFile(self._hadoop(f"{self.path}/commits/{version:020d}.claim"))
-        except self._jvm.java.io.IOException:
-            claim = False
-        if not claim or self._fs.exists(final) or not self._fs.rename(aside, final):
+            made = self._take_name(aside, final)
+        finally:
             self._fs.delete(aside, False)
+        if not made:
             raise CommitConflict(f"commit {version} was made by another writer")
 
+    def _take_name(self, aside, final) -> bool:
+        """Give the file ``aside`` its final name; False if the name is taken."""
+        if self._fs.getUri().getScheme() != "file":
+            return not self._fs.exists(final) and self._fs.rename(aside, final)
+        local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            self._jvm.java.nio.file.Files.createLink(local(final), local(aside))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
+
     # reading
 
     def _empty(self) -> DataFrame:
-        meta = T.StructType([T.StructField("_op", T.StringType()), T.StructField("_commit", T.LongType()), T.StructField("_seq", T.LongType()), T.StructField("_version", T.LongType()), T.StructField("_ts", T.TimestampType())])
+        meta = T.StructType([T.StructField("_op", T.StringType()), T.StructField("_commit", T.LongType()), T.StructField("_seq", T.LongType()), T.StructField("_version", T.LongType()), T.StructField("_ts", T.TimestampType()), T.StructField("_order", T.LongType())])
         return self.spark.createDataFrame([], relaxed(T.StructType([*self.schema.fields, *meta.fields])))
 
     def changes(self, version: int | None = None, after: int = 0) -> DataFrame:
@@ -152,10 +168,12 @@ class RecordTable:
         rows = latest(self.changes(version), self.key, ["_commit", "_seq"], F.col("_op") == REMOVE)
         return rows.drop("_op", "_seq") if headers else rows.drop(*META)
 
-    def head(self, key) -> DataFrame:
-        """Key, version, commit and time of one record."""
-        rows = latest(self.changes().where(F.col(self.key) == F.lit(key)), self.key, ["_commit", "_seq"], F.col("_op") == REMOVE)
-        return rows.select(self.key, "_version", "_commit", "_ts")
+    def head(self, key=None) -> DataFrame:
+        """Key, version, commit and time of one record, or of all."""
+        changes = self.changes().select(f"`{self.key}`", *META)
+        if key is not None:
+            changes = changes.where(F.col(self.key) == F.lit(key))
+        return latest(changes, self.key, ["_commit", "_seq"], F.col("_op") == REMOVE).select(self.key, "_version", "_commit", "_ts")
 
     def get(self, key, version: int | None = None) -> dict | None:
         rows = latest(self.changes(version).where(F.col(self.key) == F.lit(key)), self.key, ["_commit", "_seq"], F.col("_op") == REMOVE).drop(*META).head(1)
@@ -173,7 +191,7 @@ class RecordTable:
         return df.select(*[(df[f"`{f.name}`"] if f.name in df.columns else F.lit(None)).cast(relaxed(f.dataType)).alias(f.name) for f in self.schema.fields])
 
     def write_changes(self, changes: DataFrame, base: int | None = None, kind: str = "delta") -> int:
-        """Commit rows that have ``_op`` (and maybe ``_seq`` and ``_version``) on top of version ``base``; the new version."""
+        """Commit rows that have ``_op`` (and maybe ``_seq``, ``_version`` and ``_order``, the place of a stream's event) on top of version ``base``; the new version."""
         base = self.version() if base is None else base
         version, path = base + 1, uuid.uuid4().hex
         extra = {"_commit": F.lit(version).cast("long"), "_ts": F.current_timestamp()}
@@ -181,6 +199,8 @@ class RecordTable:
             extra["_seq"] = F.lit(0).cast("long")
         if "_version" not in changes.columns:
             extra["_version"] = F.lit(1).cast("long")
+        if "_order" not in changes.columns:
+            extra["_order"] = F.lit(None).cast("long")
         rows = changes.withColumns(extra).select(*[F.col(f"`{f.name}`").cast(relaxed(f.dataType)).alias(f.name) for f in self.schema.fields], *META)
         rows.write.parquet(f"{self.path}/data/{path}")
         self._publish(version, kind, path)

@@ -47,6 +47,11 @@ def group_by(df: DataFrame, base: str, *keys: str, order: str | None = None) ->
     return df.groupBy(*keys).agg(F.filter(F.transform(pairs, lambda p: p["v"]), lambda v: v.isNotNull()).alias(base))
 
 
+def aggregate(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
+    """One row a group with the named aggregates, partly computed before the shuffle; without keys, one row."""
+    return df.groupBy(*keys).agg(*[v.alias(k) for k, v in values.items()])
+
+
 def join_by(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Co-group: every key of any table with the rows that have it, as one list of structs; keys without partner stay."""
     for t in tables:

@@ -84,10 +84,10 @@ def _order(df: DataFrame, ordering: Ordering | None, *columns: str) -> DataFrame
 
 def _finish(df: DataFrame, id_col: str, projection: Sequence[str], selection: str | Column | None, processing: str | Column | None, ordering: Ordering | None, *order: str) -> DataFrame:
     if selection is not None:
-        df = df.where(compile_expr(selection))
+        df = df.where(compile_expr(selection, df.columns))
     df = _order(df, ordering, *order)
     if processing is not None:
-        return df.select(id_col, compile_expr(processing).alias("value"))
+        return df.select(id_col, compile_expr(processing, df.columns).alias("value"))
     return project(df, projection)
 
 
@@ -129,9 +129,9 @@ def _found(df: DataFrame, id_col: str, keys: Sequence[Any], wanted: DataFrame) -
 def read_all_cells(df: DataFrame, id_col: str, keys: Sequence[Any], columns: Sequence[str] = (), selection: str | Column | None = None, processing: str | Column | None = None) -> DataFrame:
     """A row for each key, with its place ``pos`` in ``keys``; what isn't found (or fails ``selection``) has nulls. A repeated key repeats its row."""
     if selection is not None:
-        df = df.where(compile_expr(selection))
+        df = df.where(compile_expr(selection, df.columns))
     if processing is not None:
-        df = df.select(id_col, compile_expr(processing).alias("value"))
+        df = df.select(id_col, compile_expr(processing, df.columns).alias("value"))
     elif columns:
         df = df.select(id_col, *[F.col(c).alias(c.rsplit(".", 1)[-1]) for c in columns if c != id_col])
     kind = df.schema[id_col].dataType.simpleString()
@@ -171,6 +171,55 @@ class DataCursor:
         return out
 
 
+class IdCursor:
+    """Walks the ids of a table in (key, id) order, a block at a time, from any place.
+
+    A block is fetched when it is needed, by ``seek`` behind the last row seen, so
+    a cursor holds one block and may be resumed elsewhere from its ``position``.
+    """
+
+    def __init__(self, df: DataFrame, key: str, id_col: str, value_range: ValueRange = ValueRange(), ordering: Ordering = Ordering.FORWARD, block: int = 64, position: tuple[Any, Any] | None = None):
+        self._df, self._key, self._id = df.select(*dict.fromkeys((key, id_col))), key, id_col
+        self._range, self._ordering, self.block = value_range, ordering, block
+        self._rows: list[Row] = []
+        self._at = 0
+        self._fetch(position)
+
+    def _fetch(self, after: tuple[Any, Any] | None) -> None:
+        self._rows, self._at = seek(self._df, self._key, self._id, self._range, self._ordering, self.block, after).collect(), 0
+        self._after = after
+
+    @property
+    def position(self) -> tuple[Any, Any] | None:
+        """(key, id) of the row before the current one: a cursor made with it starts at the current row."""
+        return self._after if self._at == 0 else (self._rows[self._at - 1][self._key], self._rows[self._at - 1][self._id])
+
+    def current(self) -> Any | None:
+        """The id under the cursor, or None behind the end."""
+        return self._rows[self._at][self._id] if self._at < len(self._rows) else None
+
+    def current_block(self) -> list[Any]:
+        """The ids from the cursor to the end of the fetched block."""
+        return [r[self._id] for r in self._rows[self._at:]]
+
+    def next(self) -> bool:
+        """Move on by one; False behind the end."""
+        if self._at < len(self._rows):
+            self._at += 1
+            if self._at == self.block:
+                self._fetch((self._rows[-1][self._key], self._rows[-1][self._id]))
+        return self._at < len(self._rows)
+
+    def next_block(self) -> list[Any]:
+        """The rest of the block, and move behind it."""
+        out = self.current_block()
+        if len(self._rows) == self.block:
+            self._fetch((self._rows[-1][self._key], self._rows[-1][self._id]))
+        else:
+            self._at = len(self._rows)
+        return out
+
+
 def merge_runs(runs: Sequence[DataFrame], key: Sequence[str], deleted: DataFrame | None = None, ordering: Ordering = Ordering.FORWARD) -> DataFrame:
     """Several runs as one ordered result without the deleted keys."""
     from cellwright.operators.relational import concat

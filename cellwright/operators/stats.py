@@ -5,9 +5,10 @@ from __future__ import annotations
 import bisect
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.operators.scan import Bound, ValueRange
@@ -63,14 +64,20 @@ def histogram(df: DataFrame, column: str, buckets: int = BUCKETS) -> list:
     return [r["k"] for r in equi_depth_keys(df, column, buckets).orderBy("rn").collect()]
 
 
-def partition_histogram(values: Sequence, buckets: int = BUCKETS) -> tuple[list, int]:
-    """Keys and depth of one partition's values: all of them, sorted, up to ``buckets``; else every depth-th and the last."""
-    values = sorted(values)
-    if len(values) <= buckets:
-        return values, 1
-    depth = len(values) // buckets
-    keys = [values[k * depth] for k in range(buckets)]
-    return (keys if keys[-1] == values[-1] else [*keys, values[-1]]), depth
+def partition_histograms(df: DataFrame, column: str, part: str, buckets: int = BUCKETS) -> DataFrame:
+    """(part, depth, keys): an equi-depth histogram of each part's values, from their ranks inside the part.
+
+    The depth is the rows between two keys; a part with at most ``buckets`` values keeps all of them.
+    """
+    own = Window.partitionBy(part)
+    placed = df.where(F.col(column).isNotNull()).select(part, F.col(column).alias("k"), (F.row_number().over(own.orderBy(column)) - 1).alias("rn"), F.count(F.lit(1)).over(own).alias("n"))
+    depth = F.greatest(F.floor(F.col("n") / buckets), F.lit(1)).cast("long")
+    place = F.col("rn") / F.col("depth")
+    edge = (F.col("rn") % F.col("depth") == 0) & (place < F.when(F.col("n") > buckets, buckets).otherwise(F.col("n")))
+    picked = placed.withColumn("depth", depth).withColumn("edge", edge).withColumn("top", (F.col("rn") == F.col("n") - 1) & ~edge)
+    picked = picked.withColumn("seen", F.max(F.when(F.col("edge"), F.col("k"))).over(own))
+    picked = picked.where("edge or (top and k <> seen)")  # a last value that is a key already isn't repeated
+    return picked.groupBy(part).agg(F.first("depth").alias("depth"), F.transform(F.sort_array(F.collect_list(F.struct("rn", "k"))), lambda x: x["k"]).alias("keys"))
 
 
 def merge_histograms(parts: Sequence[tuple[Sequence, int]], buckets: int = BUCKETS) -> list:
@@ -118,17 +125,30 @@ def scan_cost(stats: SchemaStatistics, schema: Schema, projection: Sequence[str]
     return Cost(stats.count, row_bytes(stats, schema, projection))
 
 
+def share_below(keys: Sequence, value: Any) -> float:
+    """The share of rows below ``value``, by a histogram's keys: whole buckets, and numbers in proportion inside one."""
+    if len(keys) < 2:
+        return 0.0 if not keys or value <= keys[0] else 1.0
+    k = bisect.bisect_left(keys, value)
+    if k == 0:
+        return 0.0
+    if k == len(keys):
+        return 1.0
+    low, high = keys[k - 1], keys[k]
+    numbers = all(isinstance(x, int | float | Decimal) for x in (low, high, value))
+    inside = float(value - low) / float(high - low) if numbers and high > low else 0.0
+    return (k - 1 + inside) / (len(keys) - 1)
+
+
 def range_cost(stats: SchemaStatistics, schema: Schema, field: str, value_range: ValueRange, projection: Sequence[str] = ()) -> Cost | None:
-    """Rows in proportion to the histogram keys that the range spans; None without a histogram."""
+    """Rows by the share of the field's histogram between the range's ends; None without a histogram."""
     keys = stats.histograms.get(field)
     if not keys:
         return None
-
-    def place(term: Any, side: int) -> int:
-        return side if term.bound is Bound.OPEN else bisect.bisect_left(keys, term.value)
-
-    span = place(value_range.end, len(keys)) - place(value_range.start, 0)
-    return Cost(int(max(0, span) / len(keys) * stats.count), row_bytes(stats, schema, projection))
+    start, end = value_range.start, value_range.end
+    low = 0.0 if start.bound is Bound.OPEN else share_below(keys, start.value)
+    high = 1.0 if end.bound is Bound.OPEN else share_below(keys, end.value)
+    return Cost(int(max(0.0, high - low) * stats.count), row_bytes(stats, schema, projection))
 
 
 def total_cost(costs: Sequence[Cost]) -> int:

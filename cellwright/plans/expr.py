@@ -1,8 +1,9 @@
 """Expressions: s-expressions and SQL strings to columns.
 
 ``(and (>= a 10u64) (< a 100))`` calls registered functions and type names (as
-casts) on columns; nested fields are written ``sub.field``. A literal may carry
-a type suffix. A string that doesn't start with a parenthesis is Spark SQL.
+casts) on columns; nested fields are written ``sub.field``; ``data`` is the whole
+row, as a struct, in operators that bind it (``compile_expr`` with the row's
+columns) and that have no column of this name. A literal may carry a type suffix. A string that doesn't start with a parenthesis is Spark SQL.
 """
 
 from __future__ import annotations
@@ -70,6 +71,8 @@ def _plain(node):
 
 def column(node) -> Column:
     """The column that a parsed expression stands for."""
+    if isinstance(node, Column):
+        return node
     if isinstance(node, tuple):
         return F.lit(_plain(node)).cast(TYPES[node[1]]) if node[1] else F.lit(_plain(node))
     if isinstance(node, Text):
@@ -78,7 +81,7 @@ def column(node) -> Column:
         if node in ("true", "false", "null"):
             return F.lit(_plain(node))
         return reduce(lambda c, name: c.getField(name), node.split(".")[1:], F.col(f"`{node.split('.')[0]}`"))
-    if not node or not isinstance(node[0], str):
+    if not node or type(node[0]) is not str:
         raise ExpressionError(f"no operator in {node!r}")
     name, args = node[0], node[1:]
     if name in TYPES and name not in ("any", "null"):  # a cast
@@ -93,8 +96,21 @@ def column(node) -> Column:
     return f(*map(column, args))
 
 
-def compile_expr(text: str | Column) -> Column:
-    """A column from an s-expression, a SQL string or a column."""
+def _bind_row(node, columns: list[str]):
+    """``node`` with the symbol ``data`` (or ``data.field``) replaced by the row."""
+    if isinstance(node, list):
+        return [node[0], *[_bind_row(x, columns) for x in node[1:]]] if node else node
+    if type(node) is str and node.split(".")[0] == "data":
+        path = node.split(".")[1:]
+        return reduce(lambda c, name: c.getField(name), path, F.struct(*[F.col(f"`{c}`") for c in columns]))
+    return node
+
+
+def compile_expr(text: str | Column, columns: list[str] | None = None) -> Column:
+    """A column from an s-expression, a SQL string or a column. ``columns``: those of the row, for the symbol ``data``."""
     if isinstance(text, Column):
         return text
-    return column(parse(text)) if text.lstrip().startswith("(") else F.expr(text)
+    if not text.lstrip().startswith("("):
+        return F.expr(text)
+    tree = parse(text)
+    return column(tree if columns is None or "data" in columns else _bind_row(tree, columns))

@@ -14,7 +14,7 @@ from cellwright.operators.kv import CellAlreadyExisted, CellDoesNotExist, Commit
 from cellwright.operators.scan import Ordering, ValueRange, inclusive
 from cellwright.operators.txn import Aborted, Transaction, transaction
 from cellwright.registry import IdExists, NameExists, SchemaNotFound, SchemaRegistry
-from cellwright.streaming.changelog import upsert_stream
+from cellwright.streaming.changelog import fold_batch, upsert_stream
 from cellwright.streaming.sources import file_stream, repeat_stream
 from cellwright.types import DYNAMIC, Field, IndexKind, Schema, SchemaMismatch, record_id
 
@@ -230,12 +230,11 @@ def test_concurrent_counter(spark, table):
 
 # statistics
 
-def test_partition_histograms():
-    assert stats.partition_histogram(range(10)) == (list(range(10)), 1)
-    assert stats.partition_histogram(range(100)) == (list(range(100)), 1)
-    assert stats.partition_histogram(range(200)) == ([*range(0, 200, 2), 199], 2)
-    assert stats.partition_histogram(range(300)) == ([*range(0, 300, 3), 299], 3)
-    assert stats.partition_histogram([3, 1, 2]) == ([1, 2, 3], 1)
+def test_partition_histograms(spark):
+    parts = {10: (1, list(range(10))), 100: (1, list(range(100))), 200: (2, [*range(0, 200, 2), 199]), 300: (3, [*range(0, 300, 3), 299]), 3: (1, [0, 1, 2]), 250: (2, [*range(0, 200, 2), 249])}
+    df = spark.createDataFrame([(n, v) for n in parts for v in reversed(range(n))] + [(10, None), (7, 1), (7, 1)] + [(101, 5)] * 101, "part int, v int")
+    got = {r.part: (r.depth, r["keys"]) for r in stats.partition_histograms(df, "v", "part").collect()}
+    assert got == parts | {7: (1, [1, 1]), 101: (1, [5] * 100)}
 
 
 @pytest.mark.parametrize("parts", [[([2, 7, 18, 25], 4), ([3, 15, 24, 30], 5)], [(list(range(1024)), 1), (list(range(1024)), 2), (list(range(1025)), 3)], [([5], 1)]])
@@ -284,6 +283,46 @@ def test_client(spark, tmp_path):
     assert one.get_all_schema() == []
 
 
+def test_late_events(spark, table):
+    kind = "id long, name string, score long, ts timestamp"
+    at = lambda d: datetime.datetime(2024, 1, d)
+    batch = lambda *rows: fold_batch(table, spark.createDataFrame(list(rows), kind), "ts", "name = 'gone'")
+    batch((1, "new", 5, at(5)), (2, "gone", 0, at(5)), (3, "x", 1, at(1)))
+    batch((1, "late", 4, at(4)), (2, "late", 4, at(4)), (3, "y", 2, at(2)), (4, "z", 3, at(1)))
+    assert state(table) == {1: ("new", 5), 3: ("y", 2), 4: ("z", 3)}
+    table.compact()
+    batch((1, "late", 4, at(4)), (3, "late", 4, at(1)))
+    assert state(table) == {1: ("new", 5), 3: ("y", 2), 4: ("z", 3)}
+    with pytest.raises(ValueError):
+        fold_batch(table, spark.createDataFrame([(1, "a", 1, "x")], "id long, name string, score long, ts string"), "ts")
+
+
+def test_dead_writers_hold_up_no_one(spark, table, monkeypatch):
+    import os
+
+    table.insert(people(spark, (1, "a", 1)))
+
+    class Killed(Exception):
+        pass
+
+    def die(*_):
+        raise Killed
+
+    for step in ("_take_name", "_publish"):  # before the commit gets its name, and before its file is written
+        with monkeypatch.context() as m:
+            m.setattr(table, step, die)
+            with pytest.raises(Killed):
+                table.upsert(people(spark, (1, "b", 2)))
+    folder = f"{table.path}/commits"
+    for left in (f"{2:020d}.claim", ".aside"):  # what a writer may leave
+        open(os.path.join(folder, left), "w").close()
+    assert state(table) == {1: ("a", 1)}
+    assert table.upsert(people(spark, (1, "c", 3))) == 2 and state(table) == {1: ("c", 3)}
+    with pytest.raises(CommitConflict):
+        table.write_changes(people(spark, (1, "d", 4)).withColumn("_op", F.lit("put")), 1)
+    assert state(table) == {1: ("c", 3)}
+
+
 def test_upsert_stream(spark, tmp_path, table):
     source = str(tmp_path / "in")
     t0 = datetime.datetime(2024, 1, 1)
