@@ -17,6 +17,7 @@ empty result; without any labelled row everything is ``und``.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,8 @@ SCRIPTS = (
     ("thai", 0x0E00, 0x0E7F), ("georgian", 0x10A0, 0x10FF), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 #: ASCII letters to lower case, all other ASCII to blanks.
 _PLAIN = bytes((c | 32) if 65 <= (c & ~32) <= 90 and c < 128 else c if c >= 128 else 32 for c in range(256))
 
@@ -60,11 +62,34 @@ def _script_table() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+class _Blanks(dict):
+    """For str.translate: other characters than ASCII, letters and their marks become blanks."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if code < 128 or unicodedata.category(chr(code))[0] in "LM" else 32
+        return self[code]
+
+
+_BLANKS = _Blanks()
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode L*); number forms such as \u00b2 or \u2167 are none."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
+def _coded(text: str) -> bytes:
+    lower = text.lower()
+    if _NOT_ASCII.search(lower):
+        lower = lower.translate(_BLANKS)
+    return lower.encode("utf-8", "surrogatepass").translate(_PLAIN)
+
+
 def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts together: trigram bucket by byte, words' first bytes, words' scripts, words' texts, words' ends."""
     if not _TABLE:
         _TABLE.append(_script_table())
-    coded = [t.lower().encode("utf-8", "surrogatepass").translate(_PLAIN) for t in texts]
+    coded = [_coded(t) for t in texts]
     b = np.frombuffer(b" " + b" ".join(coded) + b"  ", np.uint8)
     ends_of_texts = np.cumsum([len(c) + 1 for c in coded])
     letter = b != 32
@@ -165,7 +190,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("lan
 def label_texts(texts: list[str | None], model: dict, penalty: float = SWITCH_PENALTY) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans) of each text; a span is (first word, words, language), words being runs of letters."""
     languages = model["languages"]
-    told = [k for k, t in enumerate(texts) if languages and t and _LETTER.search(t)]
+    told = [k for k, t in enumerate(texts) if languages and t and has_letter(t)]
     scores, lengths = [np.zeros((0, len(languages)), np.float32)], np.zeros(len(told), np.int64)
     k = 0
     while k < len(told):  # features take many bytes a character: in chunks

@@ -1,12 +1,14 @@
 """Licence scan: windows of normalised text against licence templates by Dice coefficient.
 
 Text and templates are lower-cased and reduced to words of letters and digits.
-At every anchor word ("license", "permission", ...) of a text, each template is
-laid so that its first anchor word falls there, and the window it covers is
-compared by the Dice coefficient of the sets of word bigrams. A template whose
-window, cut off by an end of the text, has too few bigrams to reach the
-threshold is not compared (2 min(a, b) / (a + b) bounds the coefficient). Each
-anchor gets its best template; ties go to the larger template, then by name.
+At every anchor word ("license", "permission", ...) of a text, each template that
+has this word is laid so that the two fall together, once for each place the word
+has in the template; so one changed word can't hide a notice that has another
+anchor. The window that a template covers is compared by the Dice coefficient of
+the sets of word bigrams. A template whose window, cut off by an end of the text,
+has too few bigrams to reach the threshold is not compared (2 min(a, b) / (a + b)
+bounds the coefficient). Each anchor gets its best template; ties go to the
+larger template, then by name; a notice found at several anchors counts once.
 
 Only DataFrame functions are used; the plan has no shuffle beyond spreading tiny tables. Defined results:
 null or empty text has no licence; repeated rows are judged each; an empty table
@@ -54,21 +56,21 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
 )
-#: Every template has one of these words; a text without their stems has no licence.
+#: Every template has one of these words; a text without them has no licence.
 ANCHORS = ("license", "licensed", "licence", "licenced", "permission", "redistribution", "redistribute", "public", "released")
-STEMS = ("licen", "permission", "redistribut", "public")
 
 
 def normal_words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
-def prepared(templates=TEMPLATES) -> list[tuple[str, int, int, list[str]]]:
-    """(name, words, first anchor's index, distinct bigrams) of each template."""
+def prepared(templates=TEMPLATES) -> list[tuple[str, str, int, int, list[str]]]:
+    """(anchor word, name, words, its place, distinct bigrams) of each anchor in each template."""
     out = []
     for name, text in templates:
         w = normal_words(text)
-        out.append((name, len(w), next(i for i, x in enumerate(w) if x in ANCHORS), sorted({f"{a} {b}" for a, b in zip(w, w[1:])})))
+        grams = sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
+        out += [(x, name, len(w), i, grams) for i, x in enumerate(w) if x in ANCHORS]
     return out
 
 
@@ -79,29 +81,36 @@ def _once(value: Column, f) -> Column:
 def matches(text: Column, min_dice: float = MIN_DICE, templates=TEMPLATES) -> Column:
     """Array of (dice, words, licence, at) of the licences found in ``text``; at: the window's first word, from 0."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    stems = F.lit(False)
-    for s in STEMS:
-        stems = stems | F.contains(lower, F.lit(s))
+    some = F.lit(False)
+    for a in ANCHORS:
+        if not any(a != b and a.startswith(b) for b in ANCHORS):  # an anchor that starts with another one needs no look of its own
+            some = some | F.contains(lower, F.lit(a))
     plain = F.split(F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " ")), " ")
     table = prepared(templates)
 
-    def score(w: Column, p: Column, name: str, n: int, first: int, grams: list[str]) -> Column:
-        start = F.greatest(p - first, F.lit(0))
-        end = F.least(p - first + n, F.size(w))
+    def score(w: Column, p: Column, name: str, n: int, place: int, grams: list[str]) -> Column:
+        start = F.greatest(p - place, F.lit(0))
+        end = F.least(p - place + n, F.size(w))
         seen = F.array_distinct(F.transform(F.sequence(start + 1, end - 1), lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1))))
         few = min_dice / (2 - min_dice) * len(grams)  # fewer bigrams can't reach min_dice
         dice = _once(seen, lambda b: 2.0 * F.size(F.array_intersect(b, F.array(*map(F.lit, grams)))) / (F.size(b) + len(grams)))
-        known = F.struct(F.when((end - start >= 2) & (end - start - 1 >= few), dice).otherwise(0.0).alias("dice"), F.lit(n).alias("words"), F.lit(name).alias("licence"), start.alias("at"))
-        return known
+        return F.struct(F.when((end - start >= 2) & (end - start - 1 >= few), dice).otherwise(0.0).alias("dice"), F.lit(n).alias("words"), F.lit(name).alias("licence"), start.alias("at"))
 
     def best(w: Column, p: Column) -> Column:
-        return F.array_max(F.array(*[score(w, p, *t) for t in table]))
-
-    found = _once(plain, lambda w: F.filter(
+        out = None
+        for a in ANCHORS:
+            mine = [score(w, p, *t[1:]) for t in table if t[0] == a]
+            if mine:
+                here = F.element_at(w, p + 1) == a
+                top = F.array_max(F.array(*mine))
+                out = F.when(here, top) if out is None else out.when(here, top)
+        return out
+
+    found = _once(plain, lambda w: F.array_distinct(F.filter(
         F.transform(F.filter(F.transform(w, lambda x, i: F.when(x.isin(*ANCHORS), i)), lambda i: i.isNotNull()), lambda p: best(w, p)),
-        lambda m: m["dice"] >= min_dice))
+        lambda m: m["dice"] >= min_dice)))
     none = F.array().cast("array<struct<dice:double,words:int,licence:string,at:int>>")
-    return F.when(stems, found).otherwise(none)
+    return F.when(some, found).otherwise(none)
 
 
 def scan(docs: DataFrame, text: str = "text", min_dice: float = MIN_DICE) -> DataFrame:

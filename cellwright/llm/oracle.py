@@ -37,14 +37,14 @@ select doc_id, len(ws) n_words, len(ws) - coalesce(n, 0) n_removed, sha256(coale
 
 
 def quality_rules() -> str:
-    rules, risk = quality.RULES, quality.MAX_FALSE_REJECTION / len(quality.RULES)
-    sums = ", ".join(f"count(*) filter ({e} > {c}) {r}_{i}" for r, (e, cs) in rules.items() for i, c in enumerate(cs))
+    rules, risk, delta = quality.RULES, quality.MAX_FALSE_REJECTION, quality.DELTA
+    levels = range(quality.LEVELS)
+    sums = ", ".join("count(*) filter (" + " or ".join(f"{e} > {cs[j]}" for e, cs in rules.values()) + f") k{j}" for j in levels)
     p, q = f"ln({risk!r}::double)", f"ln(1 - {risk!r}::double)"
-    tail = (f"case when n <= 0 or {{0}} >= n * {risk!r}::double then 1.0 else list_sum(list_transform(range(0, {{0}}+1),"
+    tail = (f"case when {{0}} >= n * {risk!r}::double then 1.0 else list_sum(list_transform(range(0, {{0}}+1),"
             f" lambda j: exp(lgamma(n+1)-lgamma(j+1)-lgamma(n-j+1) + j*{p} + (n-j)*{q}))) end")
-    per_rule = sum(len(c) for _, c in rules.values())
-    level = f"{quality.DELTA!r}::double / (greatest(strata, 1) * {per_rule})"
-    cuts = ", ".join("case " + " ".join(f"when {tail.format(f'{r}_{i}')} <= {level} then {c!r}::double" for i, c in enumerate(cs)) + f" end cut_{r}" for r, (_, cs) in rules.items())
+    level = "case " + " ".join(f"when {tail.format(f'k{j}')} > error then {j}" for j in levels) + f" else {quality.LEVELS} end"
+    cuts = ", ".join(f"([{', '.join(f'{c!r}::double' for c in cs)}])[level] cut_{r}" for r, (_, cs) in rules.items())
     passes = " and ".join(f"not coalesce({e} > cut_{r}, false)" for r, (e, _) in rules.items())
     return f"""
 with w as (select doc_id, coalesce(text, '') t, lang, {_WORDS.format('text')} ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls from documents),
@@ -55,22 +55,21 @@ f as (select doc_id, lang, len(ws) n_words, length(array_to_string(ws, ''))::big
  (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g'))::bigint n_upper from w left join cov using (doc_id)),
 g as (select *, n_words < 20 or 100*n_repeat_words > 30*n_words base_failed from f),
 c as (select lang, count(*) n, {sums} from g where not base_failed and doc_id in (select doc_id from labels where quality = 1) group by lang),
-d as (select lang, {cuts} from (select *, count(*) over () strata from c))
+m as (select coalesce({delta!r}::double / max(r), 0) error from (select n, row_number() over (order by n desc) r from c) where pow(1 - {risk!r}::double, n) <= {delta!r}::double / r),
+d as (select lang, {cuts} from (select lang, {level} as level from c, m) where level > 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {passes} kept from g left join d on g.lang is not distinct from d.lang"""
 
 
 def licence_scan() -> str:
-    values = ", ".join(f"('{name}', {n}, {first}, [{', '.join(repr(x) for x in grams)}])" for name, n, first, grams in licences.prepared())
-    stems = " or ".join(f"contains(lower(text), '{s}')" for s in licences.STEMS)
-    anchors = ", ".join(f"'{a}'" for a in licences.ANCHORS)
+    values = ", ".join(f"('{anchor}', '{name}', {n}, {place}, [{', '.join(repr(x) for x in grams)}])" for anchor, name, n, place, grams in licences.prepared())
     few = licences.MIN_DICE / (2 - licences.MIN_DICE)
     return f"""
-with t(licence, n, f, grams) as (values {values}),
-w as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') ws from documents where {stems}),
-a as (select doc_id, ws, p from (select doc_id, ws, unnest(ws) x, unnest(range(0, len(ws))) p from w) where x in ({anchors})),
+with t(anchor, licence, n, f, grams) as (values {values}),
+w as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') ws from documents),
+a as (select doc_id, ws, x, p from (select doc_id, ws, unnest(ws) x, unnest(range(0, len(ws))) p from w) where x in (select anchor from t)),
 c as (select doc_id, p, licence, n, grams, greatest(p-f, 0) pos, list_distinct(list_transform(range(greatest(p-f, 0)+1, least(p-f+n, len(ws))), lambda i: ws[i] || ' ' || ws[i+1])) b,
- least(p-f+n, len(ws)) - greatest(p-f, 0) size from a, t),
+ least(p-f+n, len(ws)) - greatest(p-f, 0) size from a join t on x = anchor),
 s as (select doc_id, p, licence, case when size >= 2 and size-1 >= {few!r} * len(grams) then 2.0::double * len(list_intersect(b, grams)) / (len(b) + len(grams)) else 0::double end dice, n, pos from c),
 best as (select doc_id, p, max(row(dice, n, licence, pos)) m from s group by 1, 2),
-found as (select doc_id, m[1]::double dice, m[3]::varchar licence from best where m[1] >= {licences.MIN_DICE!r})
+found as (select distinct doc_id, m[1]::double dice, m[2]::int n, m[3]::varchar licence, m[4]::int pos from best where m[1] >= {licences.MIN_DICE!r})
 select d.doc_id, count(licence) n_found, coalesce(string_agg(distinct licence, ',' order by licence), '') licences, round(coalesce(max(dice), 0::double), 6) best_dice from documents d left join found using (doc_id) group by 1"""

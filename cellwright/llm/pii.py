@@ -2,12 +2,17 @@
 
 One scan of every text finds the base identifiers (e-mail and IP addresses, card
 and phone numbers) and all other identifier-like tokens, each with its lexical
-contexts (the two words before; the words on either side). The base identifiers
-are the seeds. Spark then scores the graph of patterns (a kind and a context)
-and instances (token values) in turns: a pattern is as good as the share of its
-distinct instances that are known, given enough of them; an instance is as good
-as the noisy-or of its patterns. Tokens whose score passes ``min_score`` become
-known for the next turn, and in the end their occurrences become spans too.
+contexts: the word before, the two words before, the words on either side. A
+context word is a run of letters, digits and _ outside the identifier, in lower
+case and with its digits alike; nothing is cut.
+
+The base identifiers are the seeds. Spark then scores the graph of patterns (a
+context) and instances (token values) in turns: a pattern is as good, for a kind,
+as the share of its distinct instances that are known to be of the kind, given
+``min_support`` of them; an instance is as good as the noisy-or of its patterns.
+Tokens whose score passes ``min_score`` become known for the next turn, with
+their score as weight, and are scored anew there; seeds stay. In the end the
+occurrences of what was found become spans too.
 
 Defined results: null or empty text has no spans; base spans always stay, and
 added spans never overlap them; repeated rows are scanned each; ties go to the
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm.common import arrow_batches, spread
-from cellwright.sources.scratch import materialise
+from cellwright.sources.scratch import materialise, scope
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 2
@@ -44,8 +50,7 @@ _DIGIT = re.compile(r"[0-9]")
 #: An identifier-like token: a run of identifier characters, less punctuation at its ends.
 _RUN = re.compile(r"[A-Za-z0-9@._+()/-]{5,}+")
 _ENDS = "@._+()/-"
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
-_CONTEXT = 80
+_WORDS = re.compile(r"\w+")
 
 
 def _luhn(digits: str) -> bool:
@@ -80,25 +85,36 @@ def _h(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _clean(word: str) -> str:
-    return _DIGIT.sub("0", _EDGE.sub("", word).lower())
+class _Contexts:
+    """The patterns of spans of one text; its words are found once, when first asked for."""
 
+    def __init__(self, text: str):
+        self.text = text
+        self.starts: list[int] | None = None
 
-def _patterns(text: str, start: int, end: int) -> list[int]:
-    left = text[max(0, start - _CONTEXT):start].split()
-    right = text[end:end + _CONTEXT].split()
-    two = [_clean(w) for w in left[-2:]]
-    out = []
-    if len(two) == 2:
-        out.append(_h("L " + " ".join(two)))
-    if two and right:
-        out.append(_h(f"LR {two[-1]} {_clean(right[0])}"))
-    return out
+    def _word(self, k: int) -> str:
+        return _DIGIT.sub("0", self.text[self.starts[k]:self.ends[k]].lower())
+
+    def patterns(self, start: int, end: int) -> list[int]:
+        if self.starts is None:
+            at = [m.span() for m in _WORDS.finditer(self.text)]
+            self.starts, self.ends = [a for a, _ in at], [b for _, b in at]
+        before, after = bisect_right(self.ends, start), bisect_left(self.starts, end)  # words before and after the span, whole
+        out = []
+        if before:
+            last = self._word(before - 1)
+            out.append("1 " + last)
+            if before > 1:
+                out.append(f"2 {self._word(before - 2)} {last}")
+            if after < len(self.starts):
+                out.append(f"b {last} {self._word(after)}")
+        return list(map(_h, out))
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Base identifiers (seed: the kind's index) and other identifier-like tokens (seed -1) with their patterns."""
-    out = [{"start": s, "end": e, "seed": k, "inst": _h(text[s:e].lower()), "pats": _patterns(text, s, e)} for s, k, e in base]
+    near = _Contexts(text)
+    out = [{"start": s, "end": e, "seed": k, "inst": _h(text[s:e].lower()), "pats": near.patterns(s, e)} for s, k, e in base]
     taken, i = sorted((s, e) for s, _, e in base), 0
     if not (_DIGIT.search(text) or "@" in text):
         return out
@@ -113,7 +129,7 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             i += 1
         if i < len(taken) and taken[i][0] < end:
             continue
-        out.append({"start": start, "end": end, "seed": -1, "inst": _h(token.lower()), "pats": _patterns(text, start, end)})
+        out.append({"start": start, "end": end, "seed": -1, "inst": _h(token.lower()), "pats": near.patterns(start, end)})
     return out
 
 
@@ -148,28 +164,31 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return materialise(src.mapInArrow(_scan, _SCAN), "pii-scan")
 
 
-def discover(scanned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE) -> DataFrame:
-    """(inst, kind) of the unseen identifiers that high-confidence patterns find."""
-    occ = scanned.select(F.explode("occ").alias("o")).select("o.inst", "o.seed", F.explode("o.pats").alias("pat"))
-    # seed of an instance: the first listed kind under which any occurrence is a base identifier
-    edges = materialise(occ.groupBy("pat", "inst").agg(F.min(F.when(F.col("seed") >= 0, F.col("seed"))).alias("seed")), "pii-edges")
-    known = edges.where("seed is not null").groupBy("inst").agg(F.min("seed").alias("kind"), F.lit(1.0).alias("weight"))
-    known = materialise(known.select("inst", "kind", "weight"), "pii-known")
-    for _ in range(rounds):
-        # a pattern's confidence per kind: weight of its known instances over all its instances, each counted once
-        rated = edges.join(known.withColumnRenamed("inst", "_i"), F.col("inst") == F.col("_i"), "left")
-        sums = rated.groupBy("pat").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0)).alias(f"w{k}") for k in range(len(KINDS))])
-        best = F.greatest(*[F.col(f"w{k}") for k in range(len(KINDS))])
-        first = F.coalesce(*[F.when(F.col(f"w{k}") == best, F.lit(k)) for k in range(len(KINDS))])
-        pats = sums.where(best >= min_support).select(F.col("pat").alias("_p"), first.alias("pk"), (best / (F.col("n") + 0.5)).alias("conf"))
-        pats = materialise(pats, "pii-patterns")
-        scored = edges.join(pats, F.col("pat") == F.col("_p")).groupBy("inst", "pk").agg(F.sum(F.log1p(-F.col("conf"))).alias("ll"), F.min("seed").alias("seed"))
-        found = scored.where(F.col("seed").isNull()).select("inst", F.struct((1 - F.exp("ll")).alias("s"), (-F.col("pk")).alias("k")).alias("v"))
-        found = found.groupBy("inst").agg(F.max("v").alias("v")).where(F.col("v.s") >= min_score)
-        found = found.select("inst", (-F.col("v.k")).alias("kind"), F.col("v.s").alias("weight"))
-        found = materialise(found, "pii-found")
-        known = known.where("weight = 1.0").unionByName(found.join(known.where("weight = 1.0").select("inst"), "inst", "left_anti"))
-    return found.select("inst", "kind")
+def discover(scanned: DataFrame, rounds: int = ROUNDS, min_support: float = MIN_SUPPORT, min_score: float = MIN_SCORE) -> DataFrame:
+    """(inst, kind, score) of the unseen identifiers that high-confidence patterns find, stored."""
+    kept: list[DataFrame] = []
+    with scope(scanned.sparkSession, kept):
+        occ = scanned.select(F.explode("occ").alias("o")).select("o.inst", "o.seed", F.explode("o.pats").alias("pat"))
+        # seed of an instance: the first listed kind under which any occurrence is a base identifier
+        edges = occ.groupBy("pat", "inst").agg(F.min(F.when(F.col("seed") >= 0, F.col("seed"))).alias("seed"))
+        edges = materialise(edges, "pii-edges")
+        seeds = materialise(edges.where("seed is not null").groupBy("inst").agg(F.min("seed").alias("kind"), F.lit(1.0).alias("weight")), "pii-seeds")
+        is_seed = seeds.select(F.col("inst").alias("_i"))
+        known, found = seeds, None
+        for _ in range(rounds):
+            # a pattern's confidence per kind: weight of its known instances over all its instances, each counted once
+            rated = edges.join(known.withColumnRenamed("inst", "_i"), F.col("inst") == F.col("_i"), "left")
+            sums = rated.groupBy("pat").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0)).alias(f"w{k}") for k in range(len(KINDS))])
+            best = F.greatest(*[F.col(f"w{k}") for k in range(len(KINDS))])
+            first = F.coalesce(*[F.when(F.col(f"w{k}") == best, F.lit(k)) for k in range(len(KINDS))])
+            pats = sums.where(best >= min_support).select(F.col("pat").alias("_p"), first.alias("pk"), (best / (F.col("n") + 0.5)).alias("conf"))
+            scored = edges.join(pats, F.col("pat") == F.col("_p")).groupBy("inst", "pk").agg(F.sum(F.log1p(-F.col("conf"))).alias("ll"))
+            scored = scored.join(is_seed, F.col("inst") == F.col("_i"), "left_anti").select("inst", F.struct((1 - F.exp("ll")).alias("s"), (-F.col("pk")).alias("k")).alias("v"))
+            scored = scored.groupBy("inst").agg(F.max("v").alias("v")).where(F.col("v.s") >= min_score)
+            found = materialise(scored.select("inst", (-F.col("v.k")).alias("kind"), F.col("v.s").alias("weight")), "pii-found")
+            known = seeds.unionByName(found)
+        kept.append(found)
+    return found.select("inst", "kind", F.col("weight").alias("score"))
 
 
 def _span(x: Column) -> Column:
@@ -179,7 +198,7 @@ def _span(x: Column) -> Column:
 def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per row: doc_id, base counts and hash, and ``found``: all spans as (start, kind, end), base and discovered."""
     scanned = scan(docs, doc_id, text)
-    new = discover(scanned, **options)
+    new = discover(scanned, **options).select("inst", "kind")
     occ = scanned.select("rid", F.explode(F.filter("occ", lambda o: o["seed"] < 0)).alias("o")).select("rid", "o.start", "o.end", "o.inst")
     more = occ.join(new, "inst").groupBy(F.col("rid").alias("_r")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     rows = scanned.join(more, F.col("rid") == F.col("_r"), "left")
@@ -189,4 +208,6 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.array_join(F.transform("found", _span), ",").alias("spans"))
+    counts = [f"n_{k}" for k in KINDS]
+    n_spans = F.size("found").cast("long")
+    return rows.select("doc_id", *counts, "base_sha256", F.array_join(F.transform("found", _span), ",").alias("spans"), n_spans.alias("n_spans"), (n_spans - sum(map(F.col, counts))).alias("n_added"))

@@ -1,13 +1,20 @@
 """Quality rules with risk-controlled thresholds.
 
 Fixed base rules reject very short and very repetitive texts. Beyond them, each
-stratum (language) gets its own cutoffs for a few statistics. A cutoff counts as
-safe if the labelled good documents of the stratum prove, by an exact binomial
-bound, that it rejects at most ``max_false_rejection`` of the good documents.
-The error level is divided by the number of tests made (Bonferroni over strata,
-rules and cutoffs), so all chosen cutoffs hold together with probability at
-least ``1 - delta``. The strictest safe cutoff of each rule is used; where the
-labels can't prove any, the rule stays off in that stratum.
+stratum (language) gets its own cutoffs for a few statistics. The rules have
+``LEVELS`` cutoffs each, from lax to strict; level j rejects a document that
+fails any rule's j-th cutoff, so the levels are nested. Documents labelled good
+are the holdout: a level is safe if they prove, by an exact binomial bound, that
+it rejects at most ``max_false_rejection`` of the good documents of the stratum.
+
+Levels are tested in order, from lax to strict, and testing stops at the first
+that isn't proven; in such a fixed sequence no correction is needed for the
+number of levels, and the rules share one risk as they are tested together. Over
+strata the error level is divided (Bonferroni). Strata with too few labels for
+any proof, which their number alone tells, aren't tested and don't count. So all
+chosen cutoffs hold together with probability at least ``1 - delta``. With the
+defaults a stratum needs 149 good documents if it is tested alone, 217 if it is
+one of four.
 
 Only DataFrame functions are used. Defined results: null text is empty (no
 words, base_failed); unlabelled or null-quality rows don't vote; a null
@@ -19,29 +26,30 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import SPACE, is_small, small_side, spread, words
-from cellwright.sources.scratch import materialise
+from cellwright.llm.common import small_side, spread, words
+from cellwright.sources.scratch import materialise, scope
 
 WINDOW = 8
-#: Rule -> (expression over the features, cutoffs from strict to lax): a document fails above the cutoff.
+#: Rule -> (expression over the statistics, cutoffs from lax to strict): a document fails above the cutoff.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "symbols": ("n_symbols / greatest(n_words, 1)", (0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.2, 2.0)),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4)),
-    "capitals": ("n_upper / greatest(word_chars, 1)", (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7)),
-    "long_words": ("word_chars / greatest(n_words, 1)", (8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0, 50.0)),
+    "symbols": ("n_symbols / greatest(n_words, 1)", (2.0, 1.2, 0.8, 0.5, 0.3, 0.2, 0.1, 0.05)),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
+    "capitals": ("n_upper / greatest(word_chars, 1)", (0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1)),
+    "long_words": ("word_chars / greatest(n_words, 1)", (50.0, 30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0)),
 }
+LEVELS = 8
 MAX_FALSE_REJECTION = 0.02
 DELTA = 0.05
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words covered by 8-word windows that occur twice or more in the array."""
+    """Words covered by 8-word windows that occur twice or more in the array ``w`` of word hashes."""
     n = F.size(w)
-    hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
 
     def covered(h: Column) -> Column:
         # sorted by (hash, position): equal windows are neighbours; then count what their positions cover
@@ -74,7 +82,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.array_join(s["w"], "")).cast("long").alias("word_chars"),
         F.size(s["l"]).cast("long").alias("n_lines"),
         (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))).cast("long").alias("n_dup_lines"),
-        _repeat_words(s["w"]).cast("long").alias("n_repeat_words"),
+        _with(F.transform(s["w"], lambda x: F.xxhash64(x)), _repeat_words).cast("long").alias("n_repeat_words"),
     ))
     return (
         docs.withColumn("_s", stats)
@@ -97,12 +105,16 @@ def _log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k). Terms are summed downwards from k, each from the one above; 1.0 where k >= n p (never a proof)."""
+    """P(Bin(n, p) <= k). Terms are summed downwards from k, each from the one above; 1.0 where k >= n p (never a proof).
+
+    Below k < n p the m-th further term is less than exp(-m (m - 1) / 2k) of the
+    first, so what follows m = 10 sqrt(k) + 2 is beyond a double's precision.
+    """
     kd, nd = k.cast("double"), n.cast("double")
     top = (_log_gamma(nd + 1) - _log_gamma(kd + 1) - _log_gamma(nd - kd + 1) + kd * math.log(p) + (nd - kd) * math.log1p(-p))
-    # term(j-1) = term(j) * j (1-p) / ((n-j+1) p); below k < n p these shrink faster than geometrically
+    # term(j-1) = term(j) * j (1-p) / ((n-j+1) p)
     total = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.least(k, F.lit(100_000).cast("long"))),
+        F.sequence(F.lit(0).cast("long"), F.least(k, F.ceil(10 * F.sqrt(kd)).cast("long") + 2)),
         F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term")),
         lambda a, i: F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * (kd - i) * ((1 - p) / p) / (nd - kd + i + 1)).alias("term")),
         lambda a: a["sum"],
@@ -110,29 +122,25 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(nd <= 0, F.lit(1.0)).when(kd >= nd * p, F.lit(1.0)).otherwise(F.exp(top) * total)
 
 
-def _good(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    return labels.where("quality = 1").select(F.col(doc_id).alias("_id")).distinct()
-
-
-def thresholds(feats: DataFrame, labels: DataFrame | None, stratum: str = "lang", doc_id: str = "doc_id",
+def thresholds(feats: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id",
                max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """(stratum, one ``cut_<rule>`` per rule, null where off; no row if all are) from documents labelled good that pass the base rules.
+    """(stratum, n, level, one ``cut_<rule>`` per rule) of each stratum with a proven level, from stored statistics.
 
-    Without ``labels``, all of ``feats`` are documents labelled good.
+    The holdout is the documents labelled good that pass the base rules; n counts them.
     """
-    held = feats if labels is None else feats.join(_good(labels), F.col(doc_id) == F.col("_id"), "left_semi")
-    # the base rules count inside the sums: as a filter they would have the statistics computed twice
-    passed = ~F.col("base_failed")
-    sums = [F.sum(F.when(passed & F.expr(f"{e} > {c}"), 1).otherwise(0)).alias(f"{rule}_{i}") for rule, (e, cuts) in RULES.items() for i, c in enumerate(cuts)]
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.sum(F.when(passed, 1).otherwise(0)).alias("n"), *sums).where("n > 0")
-    counts = materialise(counts, "quality-counts")
-    strata = counts.count()
-    level = delta / (max(1, strata) * sum(len(c) for _, c in RULES.values()))
-    risk = max_false_rejection / len(RULES)  # the rules' risks add up
-    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cut"), F.col(f"{r}_{i}").alias("k")) for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts)])
-    tests = counts.select("stratum", "n", F.explode(each).alias("t")).select("stratum", "n", "t.*")
-    safe = tests.where(binomial_tail(F.col("k"), F.col("n"), risk) <= level)
-    return safe.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])  # the strictest
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
+    held = feats.where("not base_failed").join(good, F.col(doc_id) == F.col("_id"), "left_semi")
+    fails = [" or ".join(f"{e} > {cuts[j]}" for e, cuts in RULES.values()) for j in range(LEVELS)]
+    sums = [F.count_if(F.expr(f)).alias(f"k{j}") for j, f in enumerate(fails)]
+    counts = materialise(held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums), "quality-counts")
+    # as many strata as can be tested at once, from the largest; a row a stratum
+    ranked = counts.withColumn("r", F.row_number().over(Window.orderBy(F.col("n").desc())))
+    able = F.max(F.when(F.pow(F.lit(1 - max_false_rejection), F.col("n")) <= F.lit(delta) / F.col("r"), F.col("r"))).over(Window.partitionBy())
+    ranked = ranked.withColumn("error", F.coalesce(F.lit(delta) / able, F.lit(0.0)))
+    proven = F.array(*[binomial_tail(F.col(f"k{j}"), F.col("n"), max_false_rejection) <= F.col("error") for j in range(LEVELS)])
+    first = F.array_position(proven, False)  # the first that isn't proven; 0 if all are
+    tested = ranked.select("stratum", "n", F.when(first == 0, F.lit(LEVELS)).otherwise(first - 1).cast("int").alias("level"))
+    return tested.where("level > 0").select("stratum", "n", "level", *[F.element_at(F.array(*map(F.lit, cuts)), F.col("level")).alias(f"cut_{r}") for r, (_, cuts) in RULES.items()])
 
 
 def verdict(feats: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -143,7 +151,7 @@ def verdict(feats: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFra
     for rule, (e, _) in RULES.items():
         failures = failures + F.coalesce((F.expr(e) > F.col(f"cut_{rule}")).cast("int"), F.lit(0))
     return (
-        feats.join(small_side(cuts), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+        feats.join(small_side(cuts.drop("n", "level")), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
         .withColumn("kept", F.coalesce(failures, F.lit(1)) == 0)
         .drop("stratum", *[f"cut_{r}" for r in RULES])
     )
@@ -153,23 +161,25 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, the statistics, base_failed and kept of every document. Statistics are computed once and stored."""
     cols = {f.name for f in docs.schema}
     src = docs.select("doc_id", "text", (F.col("lang") if "lang" in cols else F.lit(None).cast("string")).alias("lang"))
-    feats = materialise(features(spread(src)).drop("text"), "quality-features")
-    cuts = materialise(thresholds(feats, labels, **options), "quality-cuts")
-    return verdict(feats, cuts)
+    return _judged(features(spread(src)).drop("text"), labels, **options)
+
+
+def _judged(feats: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    kept: list[DataFrame] = []
+    with scope(feats.sparkSession, kept):
+        feats = materialise(feats, "quality-features")
+        cuts = materialise(thresholds(feats, labels, **options), "quality-cuts")
+        kept += [feats, cuts]
+        return verdict(feats, cuts)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their own columns only."""
-    names = docs.columns
-    packed = spread(docs.select(F.struct(*[docs[c] for c in names]).alias("_d"), F.col("doc_id"), F.col("text"), F.col("lang")))
-    good = materialise(_good(labels), "quality-good")
-    narrow = packed.drop("_d")
-    if is_small(good):  # few labels: drop the other texts first; else shuffle the statistics, never the texts
-        cuts = thresholds(features(narrow.join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left_semi")), None, **options)
-    else:
-        cuts = thresholds(features(narrow).drop("text"), labels, **options)
-    cuts = materialise(cuts, "quality-cuts")
-    return verdict(features(packed), cuts).where("kept").select("_d.*")
+    """The documents that pass, with their own columns only.
+
+    Texts are stored beside their statistics: both are read or written once more, and never shuffled.
+    """
+    packed = spread(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_d"), F.col("doc_id"), F.col("text"), F.col("lang")))
+    return _judged(features(packed).drop("text"), labels, **options).where("kept").select("_d.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Secret scan: candidate tokens, judged by a random forest.
 
-Candidates are long tokens with digits or mixed case, values assigned to names
-like "password", and private keys: from the header to the END line, or to the
-end of the lines that look like a key. The forest sees a candidate's length,
+Candidates are long tokens with digits or mixed case, values of six characters or
+more assigned to names that end like those of secrets ("password", "DB_TOKEN",
+"apiKey"), and private keys: from the header to the END line, or to the end of
+the lines that look like a key. The forest sees a candidate's length,
 its character classes and transitions (how often the class changes; how likely
 its letter pairs are in ordinary words), its coverage by a dictionary, whether
 it is part of a path or address, and its neighbouring words, and removes false
-positives. It is trained on labelled findings: those given (at most
-``MAX_FINDINGS`` are used) or else a generated set, always with the same seed.
+positives. It is trained on labelled findings: those given, in memory or as a
+table, or else a generated set, always with the same seed. Of each class at most
+``MAX_FINDINGS`` / 2 findings are used, chosen by hash.
 
 Defined results: null or empty text has no findings; overlapping candidates
 count once, the earlier first, of two from one place the longer; repeated rows are scanned each; an empty table
@@ -24,6 +26,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellwright.llm.common import arrow_batches, spread
 
@@ -45,9 +48,11 @@ DICTIONARY = (
     " enter entry error event example export factory family feature field file filter final find first folder follow font form format forward frame free from front function future"
     " game gate general global good graph green group guide handle hash head health heart height hello help here hidden history home horse host house").split()
 
-_WORTH = re.compile(r"[0-9]|(?i:passw|pwd|secret)|PRIVATE KEY")
 _RUN = re.compile(r"[A-Za-z0-9_+/=.~-]{16,}+")
-_ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|secret)[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"']{6,}+)")
+# a name starts after something else than a letter, or with a capital after a small letter
+_ASSIGNED = re.compile(
+    r"(?i)(?:(?<![a-z])|(?<=(?-i:[a-z]))(?=(?-i:[A-Z])))(?:" + "|".join(sorted(SECRET_NAMES, key=lambda w: (-len(w), w)))
+    + r")[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"'`]?([^\s\"'`]{6,}+)")
 _HEADER = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 _BREAK = r"(?:\s|\\[nr])+"
 _PEM = re.compile(
@@ -75,7 +80,7 @@ _PAIRS = _pairs()
 
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the tokens worth a look, in order, not overlapping."""
-    if not text or not _WORTH.search(text):
+    if not text:
         return []
     found = [(m.start(), m.end(), "private key") for m in _PEM.finditer(text)]
     for m in _RUN.finditer(text):
@@ -88,7 +93,13 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
         inner = token[1:]
         if len(token) >= 16 and (any("0" <= c <= "9" for c in token) or inner != inner.lower() and inner != inner.upper()):
             found.append((start, end, "token"))
-    found += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
+    if ":" in text or "=" in text:
+        for m in _ASSIGNED.finditer(text):
+            end = m.end(1)
+            if text[end:end + 1] not in ("\"", "'", "`"):  # unquoted: punctuation behind the value isn't part of it
+                end = m.start(1) + len(m[1].rstrip(",;)]}>."))
+            if end - m.start(1) >= 6:
+                found.append((m.start(1), end, "assigned"))
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str]] = []
     for x in found:
@@ -150,11 +161,12 @@ def generated_findings(rows: int = 3_000, seed: int = 7) -> list[tuple[str, int,
         if how == 6:
             return pick(("Authorization: Bearer ", "jwt ")), "eyJ" + chars(b62, 33) + "." + "eyJ" + chars(b62, 40) + "." + chars(b62 + "_-", 43), ""
         if how == 7:
-            return pick(("password = \"", "passwd: \"", "secret=\"")), chars(b62 + "!$%#", int(rng.integers(10, 20))), "\""
+            name, op = pick(names), pick((" = \"", ": \"", "=\"", "\": \"", "=", ": "))
+            return pick(("", "", "DB_", "client_", "my")) + pick((name, name.upper())) + op, chars(b62 + "!$%#", int(rng.integers(10, 20))), "\"" if op.endswith("\"") else ""
         return "", "-----BEGIN " + pick(("RSA ", "EC ", "", "OPENSSH ")) + "PRIVATE KEY-----", ""
 
     def other() -> tuple[str, str, str]:
-        how = int(rng.integers(12))
+        how = int(rng.integers(16))
         d = lambda n: chars("0123456789", n)
         return (
             lambda: (pick(("commit ", "sha256:", "md5 ", "checksum = ", "revision ", "hash: ")), chars(hexes, pick((32, 40, 64))), ""),
@@ -169,6 +181,10 @@ def generated_findings(rows: int = 3_000, seed: int = 7) -> list[tuple[str, int,
             lambda: (pick(("", "version ")), f"2{d(3)}-{d(2)}-{d(2)}T{d(2)}.{d(2)}.{d(2)}", ""),
             lambda: (pick(("", "isbn ")), f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", ""),
             lambda: (pick(("", "the ")), "".join(w.capitalize() for w in (word().encode("ascii", "ignore").decode(), pick(DICTIONARY), word().encode("ascii", "ignore").decode(), pick(DICTIONARY))) + d(1), ""),
+            lambda: (pick(names) + pick((": ", " = ", "=", ": \"")), pick(("required", "string", "optional", "missing", "expired", "invalid", "unknown", "basic-auth", "changeme", "example", word() + "en")), ""),
+            lambda: (pick(names) + pick((" = ", "=", ": ")), pick(("get_", "load_", "read_", "self.", "config.", "os.environ.", "settings.")) + pick(DICTIONARY) + "_" + pick(DICTIONARY) + pick(("", "()", "[0]")), ""),
+            lambda: (pick(names) + pick((": ", " = ")), pick(("https://", "/", "./")) + pick(DICTIONARY) + "/" + pick(DICTIONARY) + "/" + pick(DICTIONARY), ""),
+            lambda: (pick(names) + pick((" = \"", ": \"", "=\"")), pick(("<your-token>", "${SECRET_VALUE}", "{{ password }}", "****************", "xxxxxxxxxx", "your-secret-here", "REPLACE_ME_1", "insert-key-here")), "\""),
         )[how]()
 
     out = []
@@ -176,7 +192,7 @@ def generated_findings(rows: int = 3_000, seed: int = 7) -> list[tuple[str, int,
         before, value, after = secret() if k % 2 else other()
         lead = words() + " " + before
         text = lead + value + after + " " + words()
-        kind = "private key" if value.startswith("-----") else "assigned" if before.startswith(("passw", "secret=")) else "token"
+        kind = "private key" if value.startswith("-----") else "assigned" if before.rstrip("\"' ").endswith((":", "=")) and before.rstrip("\"' :=").lower().endswith(tuple(names)) else "token"
         out.append((text, len(lead), len(lead) + len(value), kind, k % 2))
     return out
 
@@ -232,9 +248,31 @@ class Forest:
         return total / len(self.trees)
 
 
+def _chosen(findings: list[tuple], most: int) -> list[tuple]:
+    """At most ``most`` findings of each class, by hash."""
+    out: list[tuple] = []
+    for y in (0, 1):
+        mine = [f for f in findings if int(f[4]) == y]
+        if len(mine) > most:
+            mine = sorted(mine, key=lambda f: hashlib.sha256(f"{f[1]} {f[2]} {f[0]}".encode("utf-8", "surrogatepass")).digest())[:most]
+        out += mine
+    return out
+
+
+def findings_of(table: DataFrame, most: int = MAX_FINDINGS // 2) -> list[tuple[str, int, int, str, int]]:
+    """Labelled findings from a table (text, start, end, kind, is_secret): of each class the ``most`` first by hash.
+
+    Rows with a null are left out. Every partition keeps ``most`` rows of a class at most, so that 2 ``most`` rows reach the driver.
+    """
+    named = table.select(F.col("text"), F.col("start"), F.col("end"), F.col("kind"), F.col("is_secret").cast("int").alias("y")).dropna()
+    key = F.xxhash64("text", "start", "end")
+    rows = [r for y in (0, 1) for r in named.where(F.col("y") == y).orderBy(key, "text", "start", "end").limit(most).collect()]
+    return [(r[0], int(r[1]), int(r[2]), r[3], int(r[4])) for r in rows]
+
+
 def train(findings: Sequence[tuple[str, int, int, str, int]] | None = None, trees: int = TREES, depth: int = DEPTH) -> Forest:
     """A forest from labelled findings (text, start, end, kind, is secret)."""
-    rows = list(findings)[:MAX_FINDINGS] if findings is not None else generated_findings()
+    rows = _chosen(list(findings), MAX_FINDINGS // 2) if findings is not None else generated_findings()
     x = np.array([features(t, s, e, k) for t, s, e, k, _ in rows])
     return Forest(x, np.array([y for *_, y in rows]), trees, depth)
 

@@ -4,11 +4,15 @@ Every window of ``window`` words has an anchor, the smallest-hash run of
 ``ANCHOR`` words in it (the leftmost of equals). Equal windows have equal
 anchors at equal offsets, so an anchor occurs at least as often as any window it
 stands for. The first pass counts anchors in a count-min sketch per partition;
-the sketches are merged (cells saturate at two) and shared. The second pass
-takes the windows whose anchor the merged sketch estimates to occur twice, and
-only these are grouped exactly, by 96 hash bits. The sketch overestimates, so no
-repeated window is lost; it is sized by the text, up to ``MAX_CELLS`` cells a
-row, and a fuller sketch only lets more windows through.
+the sketches are merged (cells saturate at two). The second pass takes the windows
+whose anchor the merged sketch estimates to occur twice, and only these are
+grouped exactly, by 96 hash bits. The sketch overestimates, so no repeated window
+is lost. It is sized by the text, about four cells an anchor.
+
+A merged sketch of up to ``SHARED_CELLS`` cells a row is broadcast, as bits. A
+larger one never leaves the executors: partition sketches are sparse rows (cell,
+count), merged by an aggregate; documents are joined with the cells that they
+have and that count two. Both ways suspect the same windows but for chance.
 
 A part of the corpus (some thousand documents of one task) sends each distinct
 window once, with whether it has it twice itself, and gets back the numbers of
@@ -31,12 +35,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwright.llm.common import WordHashes, arrow_batches, mix64, small_side, spread
-from cellwright.sources.scratch import materialise
+from cellwright.sources.scratch import materialise, scope
 
 WINDOW = 35
 ANCHOR = 16
 SKETCH_ROWS = 2
-LEAST_CELLS, MAX_CELLS = 1 << 22, 1 << 29
+LEAST_CELLS = 1 << 22
+#: Cells a row up to which the merged sketch is broadcast: 16 MB a row.
+SHARED_CELLS = 1 << 27
+#: Bits of a cell's number in the sketch that stays on the executors.
+WIDE = 48
 #: Cells in a block of the sketch, the unit of merging.
 BLOCK = 1 << 18
 CHUNK_WORDS = 200_000
@@ -84,7 +92,7 @@ class Chunk:
         ends = np.cumsum(self.lengths)
         self.firsts = ends - self.lengths
         n = len(self.h) - window + 1
-        self.starts = self.anchor_hash = np.zeros(0, np.int64)
+        self.starts = self.anchor_hash = self.anchor_at = np.zeros(0, np.int64)
         if n <= 0 or self.lengths.max() < window:
             self.anchor_of = np.zeros(0, np.int64)
             return
@@ -95,8 +103,12 @@ class Chunk:
         np.add.at(inside, self.firsts[long], 1)
         np.add.at(inside, ends[long] - window + 1, -1)
         self.starts = np.flatnonzero(np.cumsum(inside)[:n])
-        anchors, self.anchor_of = np.unique(best[self.starts], return_inverse=True)
-        self.anchor_hash = grams[anchors]
+        self.anchor_at, self.anchor_of = np.unique(best[self.starts], return_inverse=True)
+        self.anchor_hash = grams[self.anchor_at]
+
+    def documents(self, places: np.ndarray) -> np.ndarray:
+        """The documents in which words stand."""
+        return np.searchsorted(self.firsts + self.lengths, places, "right")
 
 
 def _cells(h: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -169,18 +181,54 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(two[block]).tobytes()], pa.binary())], ["block", "bits"])
 
 
-def sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None) -> tuple[int, bytes]:
-    """Cells a row and the bits (a row after another) of the merged sketch. At most SKETCH_ROWS x MAX_CELLS / 8 bytes reach the driver."""
-    if cells is None:
-        chars = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-        cells = min(MAX_CELLS, max(LEAST_CELLS, 1 << (int(chars) // 15).bit_length()))  # about four cells an anchor
-    arrow_batches(docs.sparkSession)
+def cells_for(docs: DataFrame) -> int:
+    """Cells a row for the text of ``docs``, about four an anchor: a power of two."""
+    chars = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    return max(LEAST_CELLS, 1 << (int(chars) // 15).bit_length())
+
+
+def sketch(docs: DataFrame, cells: int, window: int = WINDOW, anchor: int = ANCHOR) -> bytes:
+    """The bits (a row after another) of the merged sketch of at most ``SHARED_CELLS`` cells a row, on the driver: 32 MB at most."""
+    if cells > SHARED_CELLS:
+        raise ValueError("too many cells to share")
     made = spread(docs.select(docs["text"].cast("string").alias("text"))).mapInArrow(_sketch(window, anchor, cells), _PIECE)
     merged = made.repartition(F.col("block")).mapInArrow(_merge, "block int, bits binary")
     bits = np.zeros((SKETCH_ROWS * cells // BLOCK, BLOCK // 8), np.uint8)
     for r in merged.collect():
         bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return cells, bits.tobytes()
+    return bits.tobytes()
+
+
+def _wide(h: np.ndarray) -> np.ndarray:
+    return (mix64(h.astype(np.uint64)) >> np.uint64(64 - WIDE)).astype(np.int64)
+
+
+def _sparse(window: int, anchor: int):
+    """(doc_id, th, cell, n): each document's cells and their counts, for (doc_id, th, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            ids, ths = b.column(0), b.column(1)
+            for first, words in _chunks(b.column(2).cast(pa.binary()).to_pylist()):
+                c = Chunk(words, hashes, window, anchor)
+                if len(c.anchor_at):
+                    both, n = np.unique(np.stack([c.documents(c.anchor_at), _wide(c.anchor_hash)]), axis=1, return_counts=True)
+                    at = pa.array(both[0] + first)
+                    yield pa.RecordBatch.from_arrays([ids.take(at), ths.take(at), pa.array(both[1]), pa.array(np.minimum(n, 2).astype(np.int32))], ["doc_id", "th", "cell", "n"])
+
+    return run
+
+
+def repeated_cells(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, th, cells): the cells of each different document that the merged sketch counts twice or more, stored."""
+    kept: list[DataFrame] = []
+    with scope(docs.sparkSession, kept):
+        sparse = materialise(spread(docs).mapInArrow(_sparse(window, anchor), "doc_id bigint, th bigint, cell bigint, n int"), "substring-sketch")
+        twice = sparse.groupBy(F.col("cell").alias("_c")).agg(F.sum("n").alias("total")).where("total > 1")
+        mine = sparse.join(twice, F.col("cell") == F.col("_c")).groupBy("doc_id", "th").agg(F.collect_set("cell").alias("cells"))
+        kept.append(materialise(mine, "substring-cells"))
+    return kept[0]
 
 
 #: Suspected windows and documents after which a task starts a new part.
@@ -233,24 +281,46 @@ class _Part:
             ], schema=_ROW_PA)
 
 
-def _suspects(shared, window: int, anchor: int):
-    """Parts of documents with the windows that the sketch estimates repeated."""
+def _by_bits(shared):
+    """Tells the anchors of a chunk that a broadcast sketch counts twice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, part, name = WordHashes(), _Part(), None
+    def repeated(c: Chunk, answers: list | None) -> np.ndarray:
         cells, packed = shared.value
         bits = np.frombuffer(packed, np.uint8).reshape(SKETCH_ROWS, cells // 8)
+        out = np.ones(len(c.anchor_hash), bool)
+        for row, cell in enumerate(_cells(c.anchor_hash.astype(np.uint64), cells)):
+            out &= (bits[row][cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
+        return out
+
+    return repeated
+
+
+def _by_cells(c: Chunk, answers: list[list[int]]) -> np.ndarray:
+    """Tells the anchors of a chunk whose cells are among the repeated ones of their documents."""
+    out, cell, of = np.zeros(len(c.anchor_hash), bool), _wide(c.anchor_hash), c.documents(c.anchor_at)
+    cuts = np.searchsorted(of, np.arange(len(answers) + 1))
+    for k, mine in enumerate(answers):
+        lo, hi = cuts[k], cuts[k + 1]
+        if hi > lo:
+            out[lo:hi] = np.isin(cell[lo:hi], np.array(mine, np.int64))
+    return out
+
+
+def _suspects(repeated, window: int, anchor: int):
+    """Parts of documents (rid, doc_id, th, text and maybe cells) with the windows that the sketch estimates repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, part, name = WordHashes(), _Part(), None
         for b in batches:
             if not b.num_rows:
                 continue
             (rids, ids, ths), raw = (b.column(k).to_pylist() for k in range(3)), b.column(3).cast(pa.binary()).to_pylist()
+            answers = b.column(4).to_pylist() if b.num_columns > 4 else None
             for first, words in _chunks(raw):
                 c = Chunk(words, hashes, window, anchor)
-                repeated = np.ones(len(c.anchor_hash), bool)
-                for row, cell in enumerate(_cells(c.anchor_hash.astype(np.uint64), cells)):
-                    repeated &= (bits[row][cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
-                starts = c.starts[repeated[c.anchor_of]] if len(c.starts) else c.starts
-                of = np.searchsorted(c.firsts + c.lengths, starts, "right")
+                again = repeated(c, answers and answers[first: first + len(words)])
+                starts = c.starts[again[c.anchor_of]] if len(c.starts) else c.starts
+                of = c.documents(starts)
                 counts = np.bincount(of, minlength=len(words))
                 each = np.split(starts - c.firsts[of], np.cumsum(counts)[:-1])
                 name = rids[first] if name is None else name
@@ -314,11 +384,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, th, first, last) of each different document that loses words, stored; th: hash of the text; first, last: arrays of word ranges, the end exclusive."""
+    kept: list[DataFrame] = []
+    with scope(docs.sparkSession, kept):
+        kept.append(_ranges_of(docs, window, anchor))
+    return kept[0]
+
+
+def _suspected(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The parts with their suspected windows (see ``_ROW``), stored."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch(docs, window, anchor))
-    src = spread(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text")))
-    src = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "text")
-    rows = materialise(src.mapInArrow(_suspects(shared, window, anchor), _ROW), "substring-rows")
+    arrow_batches(spark)
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
+    cells = cells_for(keyed)
+    numbered = lambda df: df.withColumn("rid", F.monotonically_increasing_id())
+    if cells <= SHARED_CELLS:
+        shared = spark.sparkContext.broadcast((cells, sketch(keyed, cells, window, anchor)))
+        src, repeated = numbered(spread(keyed)).select("rid", "doc_id", "th", "text"), _by_bits(shared)
+    else:
+        mine = small_side(repeated_cells(keyed, window, anchor).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "cells"))
+        src = keyed.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+        src, repeated = numbered(src).select("rid", "doc_id", "th", "text", "cells"), _by_cells
+    return materialise(src.mapInArrow(_suspects(repeated, window, anchor), _ROW), "substring-rows")
+
+
+def _ranges_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    rows = _suspected(docs, window, anchor)
     # a part sends each window once, so a window of very many documents has a row a part, not a document
     each = rows.where(F.col("h").isNotNull()).select("part", F.posexplode(F.arrays_zip("h", "more")).alias("number", "w")).select("part", "number", "w.h", "w.more")
     weight = F.sum(F.col("more").bitwiseAND(1) + 1).over(Window.partitionBy("h", F.shiftright("more", 1)))

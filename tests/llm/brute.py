@@ -43,21 +43,29 @@ def quality(text):
 
 
 def binomial_tail(k, n, p):
-    return sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+    log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
+    return math.fsum(math.comb(n, j) * p**j * (1 - p) ** (n - j) if n < 1000 else math.exp(log(j)) for j in range(k + 1))
 
 
 def verdicts(docs, labels, rules, risk, delta):
-    """doc_id -> kept, for documents (doc_id, text, lang) with distinct ids."""
+    """(doc_id -> kept, stratum -> level) for documents (doc_id, text, lang) with distinct ids."""
     stat = {i: quality(t) for i, t, _ in docs}
     value = {i: {r: eval(e.replace("greatest", "max"), {"max": max}, dict(s)) for r, (e, _) in rules.items()} for i, s in stat.items()}  # noqa: S307
+    steps = len(next(iter(rules.values()))[1])
+    fails = lambda i, j: any(value[i][r] > cuts[j] for r, (_, cuts) in rules.items())
     good = {i for i, q in labels if q == 1}
     groups = {}
     for i, _, lang in docs:
         if i in good and not stat[i]["base_failed"]:
             groups.setdefault(lang, []).append(i)
-    tests = max(1, len(groups)) * sum(len(c) for _, c in rules.values())
-    cuts = {g: {r: next((c for c in cut if binomial_tail(sum(value[i][r] > c for i in ids), len(ids), risk / len(rules)) <= delta / tests), None) for r, (_, cut) in rules.items()} for g, ids in groups.items()}
-    return {i: not stat[i]["base_failed"] and all(c is None or value[i][r] <= c for r, c in cuts.get(lang, {}).items()) for i, _, lang in docs}
+    sizes = sorted(map(len, groups.values()), reverse=True)
+    tests = max((r for r, n in enumerate(sizes, 1) if (1 - risk) ** n <= delta / r), default=0)
+    level = {}
+    for g, ids in groups.items():
+        level[g] = 0
+        while tests and level[g] < steps and binomial_tail(sum(fails(i, level[g]) for i in ids), len(ids), risk) <= delta / tests:
+            level[g] += 1
+    return {i: not stat[i]["base_failed"] and not (level.get(lang) and fails(i, level[lang] - 1)) for i, _, lang in docs}, level
 
 
 def shingles(text, size=4):
@@ -65,9 +73,9 @@ def shingles(text, size=4):
     return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
-def components(docs):
+def components(docs, size=4):
     """Row number -> smallest doc_id, for documents (doc_id, text)."""
-    sets = [shingles(t) for _, t in docs]
+    sets = [shingles(t, size) for _, t in docs]
     parent = list(range(len(docs)))
 
     def find(x):
@@ -113,3 +121,45 @@ def targets(sizes, weights=(3, 1, 2), budget=1.5, most=2):
             free.discard(s)
         left = budget * sum(sizes.values()) - sum(out.values())
     return out
+
+
+def templates(text, names, numbers, units, other):
+    """(template words, plain words) of a text; the patterns are the operator's fixed values, in Python's form."""
+    t = numbers.sub("\x02", names.sub("\x01", text or ""))
+    tmpl = [w for w in re.split(r"[\x20\x09-\x0D]+", other.sub("", t.lower())) if w]
+    plain = [w for w in re.split(r"[\x20\x09-\x0D]+", other.sub("", (text or "").lower())) if w]
+    return ["\x03" if w in units else w for w in tmpl], plain
+
+
+def leaks(docs, items, split, window=6, least=3, literals=0.6, coverage=0.3):
+    """(doc_id, item_id) -> (matched, coverage, verbatim), for documents (doc_id, text) and items (item_id, text) with distinct ids."""
+    marks = {"\x01", "\x02", "\x03"}
+    out = {}
+    for item, text in items:
+        t, p = split(text)
+        if len(t) < least:
+            continue
+        size = min(window, len(t))
+        places = [i for i in range(len(t) - size + 1) if sum(x not in marks for x in t[i:i + size]) >= math.ceil(size * literals)]
+        plain = not places
+        own = p if plain else t
+        places = places or list(range(len(t) - size + 1))
+        for doc, body in docs:
+            dt, dp = split(body)
+            theirs = dp if plain else dt
+            shifts = {}
+            for i in places:
+                for j in range(len(theirs) - size + 1):
+                    if theirs[j:j + size] == own[i:i + size]:
+                        slots = set() if plain else {(k, a, b) for k, a, b in zip(t[i:i + size], p[i:i + size], dp[j:j + size]) if k in marks}
+                        shifts.setdefault(j - i, {})[i] = slots
+            matched, verbatim = set(), True
+            for hits in shifts.values():
+                filled = set().union(*hits.values())
+                ok = len(filled) == len({(k, a) for k, a, _ in filled})
+                counted = {i: x for i, x in hits.items() if ok or not x}
+                matched |= set(counted)
+                verbatim &= all(a == b for x in counted.values() for _, a, b in x)
+            if matched and len(matched) / len(places) >= coverage:
+                out[doc, item] = (len(matched), len(matched) / len(places), verbatim)
+    return out

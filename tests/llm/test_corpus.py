@@ -109,6 +109,48 @@ def test_main_text(html, want):
     assert htmltext.main_text(html) == want
 
 
+LONG = "A paragraph of the article that goes on for a good many words, as such paragraphs do."
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    # names that may be subjects, a byline, comments and an advert inside an article
+    (f"<article><header><h1>Title</h1><p>By Someone, today</p></header><p>{LONG}</p><section class='related-work'><h2>Related work</h2><p>{LONG}</p></section><div class='social-history'><p>{LONG}</p></div>"
+     f"<div class='related'><a href=x>Another story</a> <a href=y>One more story</a></div><div class=advert><p>{LONG}</p></div><section id=comments><p>{LONG}</p></section><p>End.</p></article>",
+     f"Title\n{LONG}\nRelated work\n{LONG}\n{LONG}\nEnd."),
+    # a teaser's article is not the main text: the ratio decides
+    (f"<body><div><article><a href=x>Teaser</a></article></div><div class=text><h1>Title</h1><p>{LONG}</p><p>Hm.</p><p>{LONG}</p><p>{LONG}</p></div></body>", f"Title\n{LONG}\nHm.\n{LONG}\n{LONG}"),
+    # no article, no element around the text
+    (f"<body><p><a href=a>a</a></p><p><a href=b>b</a></p><p><a href=c>c</a></p><p><a href=d>d</a></p><h1>Title</h1><p>{LONG}</p><p>Hm.</p><p>{LONG}</p><p>{LONG}</p><p>e</p><p>f</p><p>g</p><p>h</p><p>i</p></body>", None),
+])
+def test_ratio_decides(html, want):
+    if want is not None:
+        assert htmltext.main_text(html) == want
+        return
+    got = htmltext.main_text(html).split("\n")
+    assert got[:1] != ["a"] and got[-1] != "i" and got.count(LONG) == 3 and "Title" in got and "Hm." in got
+    assert htmltext.main_text(html, sigma=0) != "\n".join(got)  # smoothing takes in short lines at the edge
+
+
+def test_without_ratios_nothing_is_found(monkeypatch, spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    monkeypatch.setattr(htmltext, "smoothed", lambda ratios, sigma: [0.0] * len(ratios))
+    assert {htmltext.main_text(p.html) for p in pages} == {""}
+
+
+def test_hostile_nesting_is_linear():
+    import time
+
+    for html in ("<div>" * 30_000 + "x" + "</div>" * 30_000, "<div>" + "<span>" * 30_000 + "<p>x</p>" * 30_000, "<ul><li><div>" + "<b>" * 30_000 + "</i>" * 30_000 + "<li>x", "<table>" * 9_000 + "<tr><td>x" * 9_000):
+        began = time.time()
+        assert "x" in htmltext.main_text(html)
+        assert time.time() - began < 20
+
+
+def test_pages_with_other_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p></article>", "t", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [tuple(r) for r in htmltext.extract(pages).collect()] == [(1, "u", LONG, len(LONG))]
+
+
 def test_pages(spark, folder):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<article><p>x &eacute;</p></article>"), (2, None, "<article><p>x &eacute;</p></article>")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in htmltext.extract(pages).collect()) == [(1, "", 0), (2, "x é", 3), (2, "x é", 3)]
@@ -201,11 +243,19 @@ def test_substrings_against_brute_force(spark, small, awkward, empty):
     assert substrings.dedup(empty).count() == 0
 
 
-def test_a_full_sketch_loses_nothing(spark, awkward, monkeypatch):
-    whole = sorted(map(tuple, substrings.dedup(awkward).select("n_words", "n_removed", "kept_sha256").collect()))
-    monkeypatch.setattr(substrings, "LEAST_CELLS", substrings.BLOCK)
-    monkeypatch.setattr(substrings, "MAX_CELLS", substrings.BLOCK)
-    assert sorted(map(tuple, substrings.dedup(awkward).select("n_words", "n_removed", "kept_sha256").collect())) == whole
+def test_every_sketch_gives_the_same_result(spark, awkward, small, monkeypatch):
+    # load above one: many false suspects, the same result; a sketch that is too large to share: sparse rows on the executors
+    for df in (awkward, small):
+        whole = sorted(map(tuple, substrings.dedup(df).select("n_words", "n_removed", "kept_sha256").collect()))
+        anchors = df.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(substrings._sparse(35, 16), "doc_id bigint, th bigint, cell bigint, n int").select("cell").distinct().count()
+        for block, shared in ((1 << 10, 1 << 27), (substrings.BLOCK, 0)):
+            with monkeypatch.context() as m:
+                m.setattr(substrings, "SHARED_CELLS", shared)
+                if shared:
+                    assert anchors > block
+                    m.setattr(substrings, "BLOCK", block)
+                    m.setattr(substrings, "cells_for", lambda docs, block=block: block)
+                assert sorted(map(tuple, substrings.dedup(df).select("n_words", "n_removed", "kept_sha256").collect())) == whole
 
 
 def test_leftmost_minima():
@@ -217,15 +267,40 @@ def test_leftmost_minima():
 
 # 5 decontamination
 
+def _split(text):
+    import regex
+
+    python = regex.compile
+    return brute.templates(text, python(decontaminate._NAME), python(decontaminate._NUMBER), decontaminate.UNITS, python(decontaminate._OTHER))
+
+
+ANNA = "If Anna buys 5 apples for 3 dollars, how much do 5 apples and pears cost in total with Anna"
+
+
 def test_templates(spark):
-    bench = spark.createDataFrame([(1, "If Anna buys 5 apples for 3 dollars, how much do 5 apples and pears cost in total with Anna"), (2, None), (3, "too"), (4, "short item here")], "item_id long, text string")
-    docs = table(spark, [
+    items = [(1, ANNA), (2, None), (3, "too"), (4, "short item here"), (5, "What is 12 + 35 * 7?"), (6, "10 20 30 40 50 60 70")]
+    rows = [
         (1, "x y. If Bob buys 7 apples for 9 dollars, how much do 7 apples and pears cost in total with Bob"), (2, "If Bob buys 7 apples for 9 dollars, how much do 8 apples and pears cost in total with Carl"),
-        (3, None), (None, "if ANNA buys 5 apples for 3 dollars how much do 5 apples and pears cost in total with anna"), (5, "we saw a short item, HERE"), (6, "nothing of the kind")], extra=True)
-    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.find(docs, bench).collect()}
-    assert got == {(1, 1): False, (5, 4): True} | ({(None, 1): True} if (None, 1) in got else {})
+        (3, None), (None, "so " + ANNA), (5, "we saw a short item, HERE"), (6, "nothing of the kind"), (7, "He asked: what is 12 + 35 * 7? Well."), (8, "What is 13 + 35 * 7?"), (9, "at 10 20 30 40 50 60 70 and 10 20 30 40 50 60 70"),
+        (10, ANNA.replace("for 3 dollars", "for 4 dollars") + ". " + ANNA), (11, "how much do 5 apples and pears cost in total with Anna")]
+    docs = table(spark, rows, extra=True)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.coverage, r.verbatim) for r in decontaminate.find(docs, bench).collect()}
+    assert got == brute.leaks([(i, t) for i, t in rows], items, _split)
+    assert {(1, 1), (None, 1), (5, 4), (7, 5), (9, 6), (10, 1), (11, 1)} == set(got) and not got[1, 1][2] and got[None, 1][2]
     kept = decontaminate.keep_clean(docs, bench)
-    assert {2, 3, 6} <= {r.doc_id for r in kept.collect()} and 1 not in {r.doc_id for r in kept.collect()} and kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 6, 8] and kept.columns == docs.columns
+
+
+def test_common_windows_pair_no_one(spark):
+    # a phrase that all items and documents share is no candidate; the planted questions are
+    items = [(k, f"what is the sum of the numbers {long_text(500 + k, 12)}") for k in range(40)]
+    rows = [(k, f"what is the sum of the numbers {long_text(900 + k, 30)}") for k in range(60)] + [(100 + k, f"so: {items[k][1]}, then") for k in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    first = decontaminate.item_windows(bench).where("first")
+    assert first.groupBy("h").count().agg(F.max("count")).head()[0] < 40
+    got = {(r.doc_id, r.item_id): (r.matched, r.coverage, r.verbatim) for r in decontaminate.find(table(spark, rows), bench).collect()}
+    assert got == brute.leaks(rows, items, _split) and set(got) == {(100 + k, k) for k in range(5)}
 
 
 def test_leaks_against_brute_force(spark, folder):
@@ -255,9 +330,11 @@ def test_decontaminate_empty(spark, empty, awkward):
 def test_licences(spark, small, awkward, empty):
     docs = table(spark, [
         (1, "Lorem ipsum. Released under the MIT License. dolor"), (2, "licensed under cc by-nc 4.0"), (3, "This work is licensed under the GNU General Public License, version 2."), (4, "the licence was lost"), (5, None),
-        (6, "Licensed under the Apache License, Version 2.0."), (7, "license"), (8, "Released under the MIT License. " * 2)])
+        (6, "Licensed under the Apache License, Version 2.0."), (7, "license"), (8, "Released under the MIT License. " * 2),
+        (9, "This is free and unencumbered software released into the pubic domain."), (10, "Provided under the Apache License, Version 2.0."),
+        (11, "you may copy it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License")], extra=True)
     got = {r.doc_id: [m.licence for m in r.found] for r in licences.scan(docs).collect()}
-    assert got == {1: ["MIT"], 2: ["CC-BY-NC-4.0"], 3: ["GPL-2.0"], 4: [], 5: [], 6: ["Apache-2.0"], 7: [], 8: ["MIT", "MIT"]}
+    assert got == {1: ["MIT"], 2: ["CC-BY-NC-4.0"], 3: ["GPL-2.0"], 4: [], 5: [], 6: ["Apache-2.0"], 7: [], 8: ["MIT", "MIT"], 9: ["Unlicense"], 10: ["Apache-2.0"], 11: ["GPL-3.0"]}
     assert licences.scan(awkward).where("size(found) > 0").count() == 0 and licences.scan(awkward).count() == len(AWKWARD)
     assert licences.scan(empty).count() == 0
 
@@ -266,16 +343,18 @@ def test_licences_against_brute_force(small):
     made = licences.prepared()
     for r in licences.scan(small).join(small.select("doc_id", "text"), "doc_id").collect():
         w = licences.normal_words(r.text)
-        want = []
+        want = {}
         for p, x in enumerate(w):
             if x in licences.ANCHORS:
                 best = (0.0, 0, "", 0)
-                for name, n, first, grams in made:
-                    cut = w[max(0, p - first): p - first + n]
-                    seen = {f"{a} {b}" for a, b in zip(cut, cut[1:])}
-                    best = max(best, (2 * len(seen & set(grams)) / (len(seen) + len(grams)), n, name, max(0, p - first)))
-                want += [best[2]] if best[0] >= licences.MIN_DICE else []
-        assert [m.licence for m in r.found] == want
+                for anchor, name, n, place, grams in made:
+                    if anchor == x:
+                        cut = w[max(0, p - place): p - place + n]
+                        seen = {f"{a} {b}" for a, b in zip(cut, cut[1:])}
+                        best = max(best, (2 * len(seen & set(grams)) / (len(seen) + len(grams)), n, name, max(0, p - place)))
+                if best[0] >= licences.MIN_DICE:
+                    want[best] = None
+        assert [(m.dice, m.words, m.licence, m.at) for m in r.found] == list(want)
 
 
 # 7 languages
@@ -314,6 +393,17 @@ def test_mixed_and_awkward_languages(spark, small, awkward, empty):
     assert {r.lang_pred for r in langid.label(awkward, nobody).collect()} == {"und"}
 
 
+def test_letters_only(spark, small):
+    import unicodedata
+
+    model = langid.fit(small, F.lit(True))
+    texts = ["\u00b2", "\u00bd \u00b3", "\u2167", "\u2460", "\u0665", "\u00aa", "x\u00b2", "_", "\u0301", "\U0001f642", "12 \u00e9"]
+    got = langid.label_texts(texts, model)
+    for t, (lang, score, spans) in zip(texts, got):
+        letters = any(unicodedata.category(c)[0] == "L" for c in t)
+        assert (lang != "und") == letters and (score > 0) == letters and bool(spans) == letters
+
+
 def test_scripts_narrow_candidates(spark):
     rows = [(i, "привет мир как дела " * 3, "ru", "s", 1) for i in range(5)] + [(10 + i, "hello world how are you " * 3, "en", "s", 1) for i in range(5)]
     model = langid.fit(table(spark, rows), F.lit(True))
@@ -355,25 +445,38 @@ def test_quality_against_brute_force(spark, small, awkward, empty, folder):
     made = [(100 + i, long_text(i, 60), "en", "s", 1) for i in range(40)] + [(300 + i, " ".join(w + "***" for w in long_text(i, 60).split()), "en", "s", 1) for i in range(3)]
     good = [(100 + i, 1, 0) for i in range(40)] + [(100, 1, 0), (300, 0, 0), (301, None, 0)]
     real = [tuple(r) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
-    for df, lab, risk in ((small, real, 0.6), (table(spark, made), good, 0.9), (awkward, [], 0.02)):
-        docs = [(r.doc_id, r.text, r.lang) for r in df.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
-        got = quality.judge(df.where("doc_id is not null").dropDuplicates(["doc_id"]), labels(spark, lab), max_false_rejection=risk).collect()
-        want = brute.verdicts(docs, [(i, q) for i, q, _ in lab], quality.RULES, risk, quality.DELTA)
+    for df, lab, risk, levels in ((small, real, 0.3, True), (table(spark, made), good, 0.2, True), (awkward, [], 0.02, False)):
+        unique = df.where("doc_id is not null").dropDuplicates(["doc_id"])
+        docs = [(r.doc_id, r.text, r.lang) for r in unique.collect()]
+        got = quality.judge(unique, labels(spark, lab), max_false_rejection=risk).collect()
+        want, level = brute.verdicts(docs, [(i, q) for i, q, _ in lab], quality.RULES, risk, quality.DELTA)
+        assert any(level.values()) == levels
         stats = {i: brute.quality(t) for i, t, _ in docs}
         for r in got:
             assert {k: r[k] for k in stats[r.doc_id] if k != "n_upper"} == {k: v for k, v in stats[r.doc_id].items() if k != "n_upper"}
         assert {r.doc_id: r.kept for r in got} == want
+        kept = quality.keep_good(unique, labels(spark, lab), max_false_rejection=risk)
+        assert {r.doc_id for r in kept.collect()} == {i for i, k in want.items() if k}
     assert quality.judge(awkward, labels(spark)).count() == len(AWKWARD)
     assert quality.judge(empty, labels(spark)).count() == 0
 
 
 def test_quality_rejects_junk_only(spark):
     made = [(i, long_text(i, 60), "en", "s", 1) for i in range(400)] + [(1000 + i, " ".join(w + "***" for w in long_text(i, 60).split()), "en", "s", 1) for i in range(20)]
-    kept = quality.keep_good(table(spark, made, extra=True), labels(spark, [(i, 1, 0) for i in range(400)]), max_false_rejection=0.2)
+    kept = quality.keep_good(table(spark, made, extra=True), labels(spark, [(i, 1, 0) for i in range(400)]))
     assert {r.doc_id for r in kept.collect()} == set(range(400)) and "stratum" in kept.columns
 
 
-@pytest.mark.parametrize(("k", "n", "p"), [(0, 1, 0.5), (0, 100, 0.01), (3, 500, 0.02), (40, 5000, 0.01), (0, 0, 0.1), (9, 10, 0.5)])
+def test_cutoffs_of_the_registered_tables_act(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    feats = quality.features(quality.spread(read("documents"))).drop("text")
+    got = quality._judged(feats, read("labels"))
+    cuts = {r.stratum: r.level for r in quality.thresholds(got, read("labels")).collect()}
+    assert set(cuts) == {"de", "en", "es", "fr"} and min(cuts.values()) >= 4
+    assert got.where("not base_failed and not kept").count() > 100
+
+
+@pytest.mark.parametrize(("k", "n", "p"), [(0, 1, 0.5), (0, 100, 0.01), (3, 500, 0.02), (40, 5000, 0.01), (150, 20000, 0.008), (0, 0, 0.1), (9, 10, 0.5)])
 def test_binomial_tail(spark, k, n, p):
     got = spark.range(1).select(quality.binomial_tail(F.lit(k).cast("long"), F.lit(n).cast("long"), p)).head()[0]
     assert got == pytest.approx(brute.binomial_tail(k, n, p) if n and k < n * p else 1.0, rel=1e-6)

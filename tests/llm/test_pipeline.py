@@ -20,9 +20,9 @@ def test_pipeline_against_brute_force(spark, folder):
     read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
     docs = read("documents")
     rows = {r.doc_id: r.asDict() for r in docs.collect()}
-    kept = brute.verdicts([(i, r["text"], r["lang"]) for i, r in rows.items()], [(r.doc_id, r.quality) for r in read("labels").collect()], quality.RULES, quality.MAX_FALSE_REJECTION, quality.DELTA)
+    kept, _ = brute.verdicts([(i, r["text"], r["lang"]) for i, r in rows.items()], [(r.doc_id, r.quality) for r in read("labels").collect()], quality.RULES, quality.MAX_FALSE_REJECTION, quality.DELTA)
     left = [i for i in rows if kept[i]]
-    roots, _ = brute.components([(i, rows[i]["text"]) for i in left])
+    roots, _ = brute.components([(i, rows[i]["text"]) for i in left], size=5)
     left = [i for k, i in enumerate(left) if roots[k] == i]
     found = {r.doc_id for r in decontaminate.find(docs.where(docs.doc_id.isin(left)), read("benchmark")).collect()}
     left = [i for i in left if i not in found]
