@@ -70,7 +70,7 @@ def scope(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
         yield
     finally:
         mine = _scopes.pop()
-        kept = {df.stored_at for df in keep}
+        kept = {df.__dict__.get("stored_at") for df in keep}
         for path in mine:
             if path in kept and _scopes:
                 _scopes[-1].append(path)
