@@ -14,10 +14,11 @@ Links are confirmed on full sets, in a fixed number of passes:
 * candidates are clustered once, and each class is compared with its cluster's
   centre, which connects groups of copies of one text at a text a class;
 * the crowd: classes in prefix runs longer than the neighbours of one class
-  reach, unless the centres have connected the whole run. Among these, an exact
-  join on rare shingles finds all pairs that can be similar enough: with a class's
-  shingles in order of how many classes of the crowd have them, two similar sets
-  share one early in both orders, so what a template shares never meets;
+  reach, unless the centres have connected the whole run. Among these, rare
+  shingles tell exactly who can be similar to anyone: with a class's shingles in
+  order of how many classes of the crowd have them, two similar sets share one
+  early in both orders, so what a template shares never meets. What meets is
+  compared in blocks, but for pairs that are connected already;
 * all other candidates whose ends are still apart are compared themselves.
 
 Connected components of the confirmed links, by contraction, give the result.
@@ -55,6 +56,8 @@ COMPARED = 32
 CHUNK_WORDS = 200_000
 #: Shingles in an Arrow batch.
 BATCH_SHINGLES = 500_000
+#: Classes, and shingles, of a block of a crowd on average at most; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 1_024, 1 << 20
 
 _K = TREES * DEPTH
 _rng = np.random.default_rng(20240229)
@@ -245,16 +248,17 @@ def _shingles(size: int):
     return run
 
 
-def crowd_pairs(crowd: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) with different roots among all classes of stored ``crowd`` (cid, root, n, _id, _th), stored; no pair that is similar enough is missing.
+def meetings(crowd: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(v, root): clusters of the classes of stored ``crowd`` (cid, root, n, _id, _th), stored. Pairs that are similar enough and have different roots are in one cluster.
 
     Let t be the similarity and x, y two sets, ordered alike by rareness. If they
     are similar enough they share t / (1 + t) (|x| + |y|) shingles, so at least so
-    many follow their first common one (itself included) in both. A shingle at some place of a set of
-    n thus bounds the size of a partner that is first met there from above
-    (``hi``); the smaller set must meet its partner at a place where its own size
-    passes the bound. Shingles that only one class has meet no one but take the
-    first places.
+    many follow their first common one (itself included) in both. A shingle at
+    some place of a set of n thus bounds the size of a partner that is first met
+    there from above (``hi``); the smaller set must meet its partner at a place
+    where its own size passes the bound. Shingles that only one class has meet no
+    one but take the first places. The classes that have a shingle early enough
+    are tied to one of those that may be the smaller one there, a row a class.
     """
     kept: list[DataFrame] = []
     with scope(docs.sparkSession, kept):
@@ -267,27 +271,121 @@ def crowd_pairs(crowd: DataFrame, docs: DataFrame, size: int = SHINGLE, percent:
         last = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long")
         own = F.col("n") - F.size("s")
         early = ranked.where(last >= own).select("cid", "root", "n", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), (last - own + 1).cast("int"))).alias("i", "x"))
-        left = F.col("n") - F.col("own") - F.col("i")
-        early = early.select("cid", "root", "n", F.col("x.tok").alias("tok"), F.floor(left * (100 + percent) / percent + 1e-6).cast("long").alias("sum"))
-        early = materialise(early.withColumn("hi", F.col("sum") - F.col("n")).drop("sum"), "neardup-early")
-        mixed = early.groupBy(F.col("tok").alias("_t")).agg(F.min("root").alias("lo"), F.max("root").alias("up")).where("lo <> up").select("_t")
-        early = materialise(early.join(mixed, F.col("tok") == F.col("_t"), "left_semi"), "neardup-meetings")
-        small = early.where("hi >= n").select(*[F.col(c).alias(f"s_{c}") for c in early.columns])
-        meet = (
-            (F.col("tok") == F.col("s_tok")) & (F.col("n") >= F.col("s_n")) & (F.col("n") <= F.col("s_hi")) & (F.col("s_n") <= F.col("hi")) & (100 * F.col("s_n") >= percent * F.col("n"))
-            & (F.col("root") != F.col("s_root")) & ((F.col("n") > F.col("s_n")) | (F.col("cid") > F.col("s_cid"))))
-        pairs = early.join(small, meet).select(F.least("cid", "s_cid").alias("a"), F.greatest("cid", "s_cid").alias("b")).distinct()
-        kept.append(materialise(pairs, "neardup-crowd-pairs"))
+        most = F.floor((F.col("n") - F.col("own") - F.col("i")) * (100 + percent) / percent + 1e-6).cast("long")  # of both sizes together
+        early = materialise(early.select("cid", "root", F.col("x.tok").alias("tok"), (most >= 2 * F.col("n")).alias("smaller")), "neardup-early")
+        hubs = early.groupBy(F.col("tok").alias("_t")).agg(F.min(F.when(F.col("smaller"), F.col("cid"))).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("up"))
+        tied = early.join(hubs.where("hub is not null and lo <> up"), F.col("tok") == F.col("_t")).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+        kept.append(components(tied, "neardup-meetings"))
     return kept[0]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, as a table for each of its values."""
+    parts: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if parts and parts[0].column(0)[0].as_py() != k[lo]:
+                yield pa.Table.from_batches(parts)
+                parts = []
+            parts.append(b.slice(lo, hi - lo))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _agreeing(least_agreement: float, percent: int):
+    """Of blocks (key, inner, block, cid, n, root, sig): each class with the later ones that it must be compared with, those that agree most first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            key, inner = g.column(0)[0].as_py(), g.column(1)[0].as_py()
+            block, cid, n, root = (g.column(i).to_numpy() for i in (2, 3, 4, 5))
+            sig = np.frombuffer(b"".join(g.column(6).to_pylist()), np.uint16).reshape(-1, _K)
+            others: dict[int, list[int]] = {}
+            for i in range(len(cid)):
+                apart = root[i + 1:] != root[i]
+                if not inner:
+                    apart &= block[i + 1:] != block[i]
+                j = np.flatnonzero(apart) + i + 1
+                j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+                agree = (sig[j] == sig[i]).mean(1)
+                j = j[np.argsort(-agree, kind="stable")[: int((agree >= least_agreement).sum())]]
+                if len(j):
+                    others.setdefault(i, []).extend(j.tolist())
+                    for x in j.tolist():
+                        others.setdefault(x, [])
+            at = np.array(list(others), np.int64)
+            ids = cid.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(at), pa.int64()), pa.array(cid[at]), pa.array(root[at]), pa.array([[ids[x] for x in xs] for xs in others.values()], pa.list_(pa.int64()))], ["key", "cid", "root", "others"])
+
+    return run
+
+
+def _compare_blocks(size: int, percent: int):
+    """Links (a, b) that connect what is similar enough in blocks (key, cid, root, others, text); classes of one root are connected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for g in _groups(batches):
+            cids, roots, others = (g.column(k).to_pylist() for k in (1, 2, 3))
+            sets = dict(zip(cids, shingle_sets(g.column(4).cast(pa.binary()).to_pylist(), hashes, size)))
+            root = dict(zip(cids, roots))
+            top = {r: r for r in roots}
+
+            def find(x: int) -> int:
+                while top[x] != x:  # noqa: B023
+                    top[x] = x = top[top[x]]  # noqa: B023
+                return x
+
+            out = []
+            for c, xs in zip(cids, others):
+                for x in xs:
+                    if find(root[c]) != find(root[x]):
+                        a, b = sets[c], sets[x]
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if 100 * both >= percent * (len(a) + len(b) - both):
+                            top[find(root[c])] = find(root[x])
+                            out.append((c, x))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def crowd_links(crowd: DataFrame, leaders: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that connect all classes of stored ``crowd`` that are similar enough and have different roots, stored."""
+    kept: list[DataFrame] = []
+    with scope(docs.sparkSession, kept):
+        cluster = meetings(crowd, docs, size, percent).select(F.col("v").alias("_v"), F.col("root").alias("cluster"))
+        members = materialise(crowd.join(cluster, F.col("cid") == F.col("_v")).drop("_v"), "neardup-members")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        mixed = members.groupBy(F.col("cluster").alias("_k")).agg(F.min("root").alias("lo"), F.max("root").alias("up"), blocks.alias("blocks")).where("lo <> up").select("_k", "blocks")
+        placed = members.join(mixed, F.col("cluster") == F.col("_k")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        placed = placed.join(leaders.select(F.col("cid").alias("_c"), "sig"), F.col("cid") == F.col("_c"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        key = F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
+        placed = placed.select(key.alias("key"), (F.col("block") == F.col("other")).alias("inner"), "block", "cid", "n", "root", "sig").repartition("key").sortWithinPartitions("key", "cid")
+        found = materialise(placed.mapInArrow(_agreeing(_least_agreement(), percent), "key bigint, cid bigint, root bigint, others array<bigint>"), "neardup-blocks")
+        found = materialise(found.join(crowd.select(F.col("cid").alias("_c"), "_id", "_th"), F.col("cid") == F.col("_c")).drop("_c"), "neardup-blocks")
+        seen = _with_text(docs, found).select("key", "cid", "root", "others", "text").repartition("key").sortWithinPartitions("key", "cid")
+        kept.append(materialise(seen.mapInArrow(_compare_blocks(size, percent), "a bigint, b bigint").distinct(), "neardup-links"))
+    return kept[0]
+
+
+def _least_agreement() -> float:
+    """Four standard errors below the similarity asked for."""
+    return (PERCENT - 4 * (PERCENT * (100 - PERCENT) / _K) ** 0.5) / 100
+
+
 def _rated(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough, with their agreement, stored."""
     sig = leaders.select(F.col("cid").alias("_c"), "sig")
     rated = pairs.join(sig, F.col("a") == F.col("_c")).select("a", "b", F.col("sig").alias("x"))
     rated = rated.join(sig, F.col("b") == F.col("_c")).select("a", "b", "x", F.col("sig").alias("y"))
-    slack = 4 * (PERCENT * (100 - PERCENT) / _K) ** 0.5 / 100
-    return materialise(rated.mapInArrow(_agreement, "a bigint, b bigint, agree double").where(F.col("agree") >= PERCENT / 100 - slack), "neardup-candidates")
+    return materialise(rated.mapInArrow(_agreement, "a bigint, b bigint, agree double").where(F.col("agree") >= _least_agreement()), "neardup-candidates")
 
 
 def _stars(rated: DataFrame, leaders: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -330,8 +428,8 @@ def _links(leaders: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     near = _stars(rated, leaders, docs, size)
     root = components(near, "neardup-linked")
     crowd = _crowd(runs, trees, root, leaders)
-    crowded = _rated(crowd_pairs(crowd, docs, size), leaders).select("a", "b")
-    # candidates whose ends the stars leave apart; the join of the crowd has those with both ends in it
+    crowded = crowd_links(crowd, leaders, docs, size)
+    # candidates whose ends the stars leave apart, but for those with both ends in the crowd
     home = root.select(F.col("v").alias("_v"), F.col("root").alias("_home"))
     member = crowd.select(F.col("cid").alias("_m"), F.lit(True).alias("_in"))
     apart = rated.select("a", "b")
@@ -339,8 +437,8 @@ def _links(leaders: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         apart = apart.join(home, F.col(end) == F.col("_v"), "left").join(member, F.col(end) == F.col("_m"), "left")
         apart = apart.withColumns({f"h{end}": F.coalesce("_home", end), f"in_{end}": F.coalesce("_in", F.lit(False))}).drop("_v", "_home", "_m", "_in")
     apart = apart.where("ha <> hb and not (in_a and in_b)").select("a", "b")
-    rest = confirmed(materialise(apart.unionByName(crowded).distinct(), "neardup-apart"), leaders, docs, size)
-    return near.unionByName(rest)
+    rest = confirmed(materialise(apart, "neardup-apart"), leaders, docs, size)
+    return near.unionByName(rest).unionByName(crowded)
 
 
 def link(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
