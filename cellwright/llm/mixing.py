@@ -9,8 +9,9 @@ gives the training position at which a document's words fall due. Documents are
 sorted by position over range partitions.
 
 Documents of a source stand in a fixed pseudo-random order. Their running sums
-come from two levels, so that no task holds a whole source: sums of hash buckets
-(shared by all sources), then a running sum inside a bucket. A copy of a
+come from three levels, so that no task holds a whole source: sums of groups of
+hash buckets, running sums of the buckets in a group, then a running sum inside a
+bucket (buckets are shared by all sources). A copy of a
 document is taken if at least half of it lies before the target. The sources
 themselves are ranked in one task, a row a source.
 
@@ -21,6 +22,7 @@ an empty table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,8 +95,14 @@ def assign(docs: DataFrame, source: str = "source", text: str = "text", size: Co
     keyed = keyed.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     sums = materialise(keyed.groupBy("source", "_b").agg(F.sum("size").alias("_s")), "mix-buckets")
     goal = materialise(targets(sums.groupBy("source").agg(F.sum("_s").alias("source_size")), **options), "mix-targets")
-    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    plan = sums.select(F.col("source").alias("_src"), F.col("_b").alias("_pb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    # about as many buckets in a group as groups
+    sums = sums.withColumn("_g", F.floor(F.col("_b") / math.ceil(math.sqrt(buckets))).cast("int"))
+    before = lambda w: F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy(F.col("source").alias("_gs"), F.col("_g").alias("_gg")).agg(F.sum("_s").alias("_s"))
+    groups = groups.select("_gs", "_gg", before(Window.partitionBy("_gs").orderBy("_gg")).alias("_group"))
+    plan = sums.select("source", "_b", "_g", before(Window.partitionBy("source", "_g").orderBy("_b")).alias("_inside"))
+    plan = plan.join(groups, F.col("source").eqNullSafe(F.col("_gs")) & (F.col("_g") == F.col("_gg")))
+    plan = plan.select(F.col("source").alias("_src"), F.col("_b").alias("_pb"), (F.col("_group") + F.col("_inside")).alias("_before"))
     goal = goal.withColumnRenamed("source", "_gsrc")
     plan = materialise(plan.join(small_side(goal), F.col("_src").eqNullSafe(F.col("_gsrc"))).drop("_gsrc"), "mix-plan")
     inside = Window.partitionBy("_b", "source").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -93,6 +93,65 @@ def test_pii_discovers_by_context(spark):
     assert all(rows[i].n_phone == 1 and len(rows[i].found) == 1 + rows[i].n_card for i in range(1, 9))
 
 
+def _scores(texts, rounds, support, least):
+    """The scoring of patterns and instances in plain Python, from the occurrences of each text."""
+    edges, seeds = set(), {}
+    for t in texts:
+        for o in pii.occurrences(t, pii.base_spans(t)):
+            edges |= {(p, o["inst"]) for p in o["pats"]}
+    for p, x in edges:
+        kinds = [o["seed"] for t in texts for o in pii.occurrences(t, pii.base_spans(t)) if o["inst"] == x and o["seed"] >= 0 and p in o["pats"]]
+        if kinds:
+            seeds[x] = min(min(kinds), seeds.get(x, 9))
+    known = {x: (k, 1.0) for x, k in seeds.items()}
+    found = {}
+    for _ in range(rounds):
+        conf = {}
+        for p in {p for p, _ in edges}:
+            mine = [x for q, x in edges if q == p]
+            weight = [sum(known[x][1] for x in mine if x in known and known[x][0] == k) for k in range(4)]
+            if max(weight) >= support:
+                conf[p] = (weight.index(max(weight)), max(weight) / (len(mine) + 0.5))
+        found = {}
+        for x in {x for _, x in edges} - set(seeds):
+            miss = {}
+            for p in {p for p, y in edges if y == x and p in conf}:
+                miss[conf[p][0]] = miss.get(conf[p][0], 1.0) * (1 - conf[p][1])
+            best = min(miss, key=lambda k: (miss[k], k), default=None)
+            if best is not None and 1 - miss[best] >= least:
+                found[x] = (best, 1 - miss[best])
+        known = {x: (k, 1.0) for x, k in seeds.items()} | found
+    return found
+
+
+def test_pii_scores_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: str(rng.choice(["call", "mail", "server", "at", "my", "the", "to", "please"]))
+    phones = [f"+1 555 {k:03d} 77{k:02d}" for k in range(20)] + [f"55-0{k:03d}-8877" for k in range(20)] + [f"10.0.0.{k}" for k in range(20)]
+    texts = [" ".join([word(), word(), phones[int(rng.integers(len(phones)))], word(), word(), word(), phones[int(rng.integers(len(phones)))]]) for _ in range(50)]
+    texts += [f"ring my desk phone {phones[k]} today" for k in (0, 1, 2, 3, 20, 21, 22)] + [f"fax my desk {phones[k]} now" for k in (20, 21, 22, 23)]
+    sizes = set()
+    for rounds, support, least in ((1, 3, 0.8), (2, 3, 0.6), (3, 2, 0.4)):
+        got = {r.inst: (r.kind, r.score) for r in pii.discover(pii.scan(table(spark, list(enumerate(texts)))), rounds, support, least).collect()}
+        want = _scores(texts, rounds, support, least)
+        assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and got[x][1] == pytest.approx(want[x][1]) for x in want)
+        sizes.add(len(want))
+    assert max(sizes) > 3
+
+
+def test_unseen_identifiers_of_a_planted_table(spark):
+    rows, unseen = [], []
+    for k in range(60):
+        seed = k % 3
+        value = f"+1 555 2{k:02d} 77{k:02d}" if seed else f"55-0{k:03d}-88{k:02d}"
+        rows.append((k, f"{long_text(k, 6)} reach us under phone {value} any day {long_text(100 + k, 6)} order 99{k:04d} of {k}12345"))
+        unseen += [] if seed else [value]
+    for k in range(60, 70):
+        rows.append((k, f"host {k}ab12345 is up; serial 5500{k}8877 {long_text(k, 9)}"))
+    got = {rows[r.doc_id][1][s.start:s.end]: s.kind for r in pii.extract(table(spark, rows)).collect() for s in r.found if (r.doc_id % 3 == 0 or r.doc_id >= 60)}
+    assert {v for v, k in got.items() if k == 3} == set(unseen)
+
+
 # 2 pages
 
 @pytest.mark.parametrize(("html", "want"), [
@@ -214,6 +273,33 @@ def test_links_in_a_crowd_of_texts_that_only_resemble_each_other(spark):
     assert got == {rows[i][0]: c for i, c in want.items()}
 
 
+def test_boilerplate_takes_a_bounded_number_of_tables(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = long_text(79, 200, 10**6).split()
+
+    def pairs(n):
+        rows = []
+        for k in range(n):  # alike by about 0.63 to all others, by 0.96 to the second
+            w = list(base)
+            for j in rng.choice(200, 11, replace=False):
+                w[j] = f"e{k}x{j}"
+            v = list(w)
+            v[int(rng.integers(200))] = f"f{k}"
+            rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        return rows
+
+    stored = []
+    for n in (150, 600):
+        names = []
+        with monkeypatch.context() as m:
+            for module in (neardup, components):
+                m.setattr(module, "materialise", lambda df, name, write=neardup.materialise, names=names: names.append(name) or write(df, name))
+            got = {r.doc_id: r.component_id for r in neardup.link(table(spark, pairs(n))).collect()}
+        assert sum(got[2 * k] == got[2 * k + 1] for k in range(n)) >= 0.99 * n and len(set(got.values())) >= 0.99 * n
+        stored.append(len([x for x in names if not x.endswith(("-edges", "-step", "-roots"))]))
+    assert stored[0] == stored[1] < 40  # contraction takes a few rounds more on larger graphs, nothing else
+
+
 def test_neardup_keeps_one(spark, awkward):
     got = [r.doc_id for r in neardup.keep_first(awkward).collect()]
     # blank texts all stay; one of each group; one of two equal rows
@@ -517,6 +603,28 @@ def test_secrets_are_found_whole():
         assert [text[s:e] for s, e, *_ in secrets.find([text], forest)[0]] == [want]
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ('my api_key = "QwErTyUiOpAsDfGhJkLzXcVbNm" here', "QwErTyUiOpAsDfGhJkLzXcVbNm"), ('{"password": "s3cr3tPa55!"}', "s3cr3tPa55!"), ("client_secret: aB9dkE02lq;", "aB9dkE02lq"), ("DB_PASSWORD=hunter2_Xk9", "hunter2_Xk9"),
+    ("the key: something", None), ("password: required", None), ("monkey=abcdef12", None), ("token: string", None), ("password = os.environ.get_pass", None), ('secret = "${SECRET_VALUE}"', None),
+])
+def test_assigned_values(text, want):
+    forest = secrets.train()
+    for tail in ("", " 1"):  # a digit elsewhere changes nothing
+        assert [(text + tail)[s:e] for s, e, *_ in secrets.find([text + tail], forest)[0]] == [want] * (want is not None)
+
+
+def test_labelled_findings_from_a_table(spark):
+    made = secrets.generated_findings(1000, seed=5)
+    rows = spark.createDataFrame([(*f[:4], f[4]) for f in made] + [(None, 0, 1, "token", 1)], "text string, start int, end int, kind string, is_secret int")
+    some = secrets.findings_of(rows.repartition(3), 100)
+    assert some == secrets.findings_of(rows.repartition(7), 100) and [sum(f[4] == y for f in some) for y in (0, 1)] == [100, 100]
+    assert len(secrets.findings_of(rows, 10_000)) == 1000
+    chosen = secrets._chosen(made, 50)
+    assert len(chosen) == 100 and chosen == secrets._chosen(made[::-1], 50)
+    p = secrets.train(secrets.findings_of(rows, 10_000)).predict(np.array([secrets.features(*f[:4]) for f in made]))
+    assert ((p >= 0.5) == np.array([f[4] for f in made])).mean() > 0.97
+
+
 # all
 
 def test_queries_return_their_columns(spark, folder):
