@@ -121,16 +121,19 @@ def _find(docs: DataFrame, benchmark: DataFrame, window: int, min_coverage: floa
     forms = sorted((r["size"], r["plain"]) for r in items.select("size", "plain").distinct().collect())  # at most 2 WINDOW values
     keyed = docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), docs["text"])
 
-    def placed(words: dict[bool, Column], made) -> Column:
+    def hashed(texts: DataFrame) -> DataFrame:
+        # as columns of their own: inside a lambda an expression would be computed again for each window
+        return texts.select("*", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p")).select("*", _hashes(F.col("t")).alias("ht"), _hashes(F.col("p")).alias("hp"))
+
+    def placed(made) -> Column:
         def of_form(size: int, plain: bool) -> Column:
-            return F.transform(_windows(_hashes(words[plain]), size), lambda h, i: made(h, i, size, plain))
+            return F.transform(_windows(F.col("hp" if plain else "ht"), size), lambda h, i: made(h, i, size, plain))
 
         each = [of_form(*f) for f in forms or [(window, False)]]
         return each[0] if len(each) == 1 else F.concat(*each)
 
     # candidate pairs: only hashes are compared, and texts aren't shuffled
-    words = {False: template_words(F.col("text")), True: plain_words(F.col("text"))}
-    seen = spread(keyed).select("doc_id", "text_hash", F.explode(F.array_distinct(placed(words, lambda h, i, s, p: h))).alias("h"))
+    seen = hashed(spread(keyed)).select("doc_id", "text_hash", F.explode(F.array_distinct(placed(lambda h, i, s, p: h))).alias("h"))
     hashes = small_side(materialise(items.where("first").select("h").distinct(), "benchmark-hashes"), SHARED_HASHES)
     seen = seen.join(hashes, "h", "left_semi")
     pairs = seen.join(items.where("first").select("h", "item_id"), "h").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("item_id").alias("_it")).distinct()
@@ -139,8 +142,8 @@ def _find(docs: DataFrame, benchmark: DataFrame, window: int, min_coverage: floa
     want = pairs.join(items, F.col("_it").eqNullSafe(F.col("item_id"))).select("_id", "_th", "item_id", "ipos", F.col("size").alias("_size"), F.col("plain").alias("_plain"), F.col("h").alias("_h"), "tmpl", "raw", "n_windows")
     some = small_side(materialise(pairs.select("_id", "_th").distinct(), "benchmark-suspects"))
     hit = keyed.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")), "left_semi")
-    hit = hit.distinct().select("doc_id", "text_hash", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p"))
-    full = placed({False: F.col("t"), True: F.col("p")}, lambda h, i, s, p: F.struct(
+    hit = hashed(hit.distinct())
+    full = placed(lambda h, i, s, p: F.struct(
         h.alias("h"), i.alias("dpos"), F.lit(s).alias("size"), F.lit(p).alias("plain"), F.slice("p" if p else "t", i + 1, F.lit(s)).alias("dt"), F.slice("p", i + 1, F.lit(s)).alias("dw")))
     own = hit.select("doc_id", "text_hash", F.explode(full).alias("w")).select("doc_id", "text_hash", "w.*")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")) & (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_size")) & (F.col("plain") == F.col("_plain"))
