@@ -87,6 +87,30 @@ def test_cursor(rows):
     assert cursor.next() is None
 
 
+def test_id_cursor_resumes_anywhere(rows):
+    df = rows.select("id", (F.col("id") % 7).alias("k")).where("id < 50")
+    want = sorted(range(50), key=lambda i: (i % 7, i))
+    for ordering, order in ((Ordering.FORWARD, want), (Ordering.BACKWARD, want[::-1])):
+        make = lambda position=None: scan.IdCursor(df, "k", "id", ordering=ordering, block=8, position=position)  # noqa: E731, B023
+        first, seen = make(), []
+        for _ in range(19):
+            seen.append(first.current())
+            assert first.next()
+        assert first.current_block()[0] == first.current() == make(first.position).current()
+        second = make(first.position)
+        while second.current() is not None:
+            seen += second.next_block()
+        assert seen == order and not second.next() and second.next_block() == []
+    empty = scan.IdCursor(df.where("id < 0"), "k", "id")
+    assert empty.current() is None and not empty.next() and empty.position is None
+
+
+def test_whole_row(rows, spark):
+    assert sorted(ids(scan.scan_all(rows, "id", selection="(= (+ data.DATA_1 data.DATA_2) 30)"))) == [10]
+    named = spark.sql("select 1 as id, 5 as data")  # a column of this name wins
+    assert scan.scan_all(named, "id", processing="(+ data 1)").head().value == 6
+
+
 def test_nested_projection(spark):
     df = spark.sql("select 1 as id, named_struct('sub1', 4096, 'sub3', 1, 'sub4', named_struct('sub4sub1', 2, 'sub4sub3', array(6, 7))) as sub")
     assert scan.project(df, ["sub.sub3", "sub.sub4.sub4sub3"]).head().asDict() == {"sub3": 1, "sub4sub3": [6, 7]}
