@@ -145,7 +145,8 @@ def _find(docs: DataFrame, benchmark: DataFrame, window: int, min_coverage: floa
     hit = hashed(hit.distinct())
     full = placed(lambda h, i, s, p: F.struct(
         h.alias("h"), i.alias("dpos"), F.lit(s).alias("size"), F.lit(p).alias("plain"), F.slice("p" if p else "t", i + 1, F.lit(s)).alias("dt"), F.slice("p", i + 1, F.lit(s)).alias("dw")))
-    own = hit.select("doc_id", "text_hash", F.explode(full).alias("w")).select("doc_id", "text_hash", "w.*")
+    every = small_side(materialise(items.select("h").distinct(), "benchmark-hashes"), SHARED_HASHES)  # most windows of these documents are none of any item
+    own = hit.select("doc_id", "text_hash", F.explode(full).alias("w")).select("doc_id", "text_hash", "w.*").join(every, "h", "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_th")) & (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_size")) & (F.col("plain") == F.col("_plain"))
     aligned = own.join(want, same).where(F.col("dt") == F.col("tmpl"))
     # slots by shift: each window's place with its slots; at most the item's windows
