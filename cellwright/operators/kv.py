@@ -6,7 +6,9 @@ atomic step, which fails if another writer has made the commit: a hard link on a
 local file system, a rename that never replaces on HDFS. (Object stores have no
 such step; a table needs a file system that has.) Nothing is ever changed in
 place, so a reader pins a version, and a writer that dies at any point leaves
-nothing that is seen or that holds up others. The current view is the newest change of every key, by
+nothing that is seen or that holds up others. The rows of a change are computed
+once: they are checked as written, or kept under ``staged/`` until they are
+joined. The current view is the newest change of every key, by
 commit and then by place in the commit; removed keys are left out. It is an
 aggregate with partial results before the shuffle, so a key with very many
 changes is no hot spot. ``compact`` writes the view as a new base, which later
@@ -18,7 +20,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -30,6 +33,8 @@ from cellwright.types import relaxed
 
 META = ("_op", "_commit", "_seq", "_version", "_ts", "_order")
 PUT, REMOVE = "put", "remove"
+#: Sizes from here on are the planner's mark of a table whose size it doesn't know.
+UNKNOWN_BYTES = 1 << 56
 
 
 class CellError(Exception):
@@ -76,14 +81,26 @@ def touched(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return table.join(incoming.select(key), key, "left_semi")
 
 
+def _met(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """``table`` for a join from ``incoming``: its ``touched`` rows, or all if the planner knows the keys as too large to broadcast.
+
+    With large keys ``touched`` filters nothing early: it would only compute and
+    sort the incoming rows once more, in the same tasks as the join. Both sides
+    are then shuffled: file sizes say too little of the rows to broadcast a table.
+    """
+    size = incoming.select(key)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    most = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return table.hint("merge") if most < size < UNKNOWN_BYTES else touched(table, incoming, key)
+
+
 def insert_if_absent(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows whose key the table doesn't have."""
-    return incoming.join(touched(table, incoming, key).select(key), key, "left_anti")
+    return incoming.join(_met(table, incoming, key).select(key), key, "left_anti")
 
 
 def update_existing(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows whose key the table has."""
-    return incoming.join(touched(table, incoming, key).select(key), key, "left_semi")
+    return incoming.join(_met(table, incoming, key).select(key), key, "left_semi")
 
 
 class RecordTable:
@@ -190,8 +207,21 @@ class RecordTable:
             raise ValueError(f"required fields are missing: {missing}")
         return df.select(*[(df[f"`{f.name}`"] if f.name in df.columns else F.lit(None)).cast(relaxed(f.dataType)).alias(f.name) for f in self.schema.fields])
 
-    def write_changes(self, changes: DataFrame, base: int | None = None, kind: str = "delta") -> int:
-        """Commit rows that have ``_op`` (and maybe ``_seq``, ``_version`` and ``_order``, the place of a stream's event) on top of version ``base``; the new version."""
+    @contextmanager
+    def _staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows`` as stored in the table's folder while they are used: they are computed once, however often they are joined."""
+        path = f"{self.path}/staged/{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(path)
+            yield self.spark.read.schema(relaxed(rows.schema)).parquet(path)
+        finally:
+            self._fs.delete(self._hadoop(path), True)
+
+    def write_changes(self, changes: DataFrame, base: int | None = None, kind: str = "delta", check: Callable[[DataFrame], None] | None = None) -> int:
+        """Commit rows that have ``_op`` (and maybe ``_seq``, ``_version`` and ``_order``, the place of a stream's event) on top of version ``base``; the new version.
+
+        ``check`` gets the rows as written, before their commit; if it raises, they are deleted and nothing is committed.
+        """
         base = self.version() if base is None else base
         version, path = base + 1, uuid.uuid4().hex
         extra = {"_commit": F.lit(version).cast("long"), "_ts": F.current_timestamp()}
@@ -203,50 +233,60 @@ class RecordTable:
             extra["_order"] = F.lit(None).cast("long")
         rows = changes.withColumns(extra).select(*[F.col(f"`{f.name}`").cast(relaxed(f.dataType)).alias(f.name) for f in self.schema.fields], *META)
         rows.write.parquet(f"{self.path}/data/{path}")
+        if check is not None:
+            try:
+                check(self.spark.read.schema(relaxed(rows.schema)).parquet(f"{self.path}/data/{path}"))
+            except BaseException:
+                self._fs.delete(self._hadoop(f"{self.path}/data/{path}"), True)
+                raise
         self._publish(version, kind, path)
         return version
 
     def _some(self, df: DataFrame) -> list:
         return [r[0] for r in df.select(self.key).limit(6).collect()]
 
-    def _put(self, rows: DataFrame, base: int, old: DataFrame | None = None) -> int:
-        if old is None:
-            return self.write_changes(rows.withColumn("_op", F.lit(PUT)), base)
-        versions = touched(old, rows, self.key).select(F.col(self.key).alias("_k"), F.col("_version").alias("_old"))
-        put = rows.join(versions, F.col(self.key) == F.col("_k"), "left").withColumn("_version", F.coalesce(F.col("_old"), F.lit(0)) + 1)
-        return self.write_changes(put.drop("_k", "_old").withColumn("_op", F.lit(PUT)), base)
+    def _put(self, rows: DataFrame, base: int, check: Callable[[DataFrame], None] | None = None) -> int:
+        """Commit records with the versions that follow their old ones; 1 is a new record's."""
+        with self._staged(rows) as rows:
+            old = _met(self.current(base, headers=True), rows, self.key)
+            versions = old.select(F.col(self.key).alias("_k"), F.greatest("_version", F.lit(1)).alias("_old"))
+            put = rows.join(versions, F.col(self.key) == F.col("_k"), "left").withColumn("_version", F.coalesce(F.col("_old"), F.lit(0)) + 1)
+            return self.write_changes(put.drop("_k", "_old").withColumn("_op", F.lit(PUT)), base, check=check)
 
     def insert(self, df: DataFrame) -> int:
         """Write new records; none may exist, and no key may come twice."""
-        base, rows = self.version(), self._conform(df)
-        held = self._some(update_existing(self.current(base), rows, self.key))
-        held = held or self._some(rows.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        if held:
-            raise CellAlreadyExisted("records exist", held)
-        return self._put(rows, base)
+        base = self.version()
+
+        def check(rows: DataFrame) -> None:
+            held = self._some(update_existing(self.current(base), rows, self.key)) if base else []
+            held = held or self._some(rows.groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+            if held:
+                raise CellAlreadyExisted("records exist", held)
+
+        return self.write_changes(self._conform(df).withColumn("_op", F.lit(PUT)), base, check=check)
 
     def update(self, df: DataFrame) -> int:
         """Replace records; all must exist."""
-        base, rows = self.version(), self._conform(df)
-        old = self.current(base, headers=True)
-        absent = self._some(insert_if_absent(old, rows, self.key))
-        if absent:
-            raise CellDoesNotExist("no such records", absent)
-        return self._put(rows, base, old)
+
+        def check(rows: DataFrame) -> None:
+            absent = self._some(rows.where("_version = 1"))
+            if absent:
+                raise CellDoesNotExist("no such records", absent)
+
+        return self._put(self._conform(df), self.version(), check)
 
     def upsert(self, df: DataFrame) -> int:
-        base = self.version()
-        return self._put(self._conform(df), base, self.current(base, headers=True))
+        return self._put(self._conform(df), self.version())
 
     def remove(self, keys: DataFrame) -> int:
         """Remove the records of a table of keys; all must exist."""
         base = self.version()
-        keys = keys.select(self.key).distinct()
-        old = self.current(base)
-        absent = self._some(insert_if_absent(old, keys, self.key))
-        if absent:
-            raise CellDoesNotExist("no such records", absent)
-        return self._drop(update_existing(keys, old, self.key), base)
+        with self._staged(keys.select(self.key).distinct()) as keys:
+            old = self.current(base)
+            absent = self._some(insert_if_absent(old, keys, self.key))
+            if absent:
+                raise CellDoesNotExist("no such records", absent)
+            return self._drop(touched(old, keys, self.key), base)
 
     def _drop(self, rows: DataFrame, base: int) -> int:
         gone = [F.col(self.key) if f.name == self.key else F.lit(None).cast(relaxed(f.dataType)).alias(f.name) for f in self.schema.fields]

@@ -149,6 +149,54 @@ def test_commits_never_overwrite(spark, table):
     assert table.version() == 2
 
 
+def test_changes_compute_their_rows_once(spark, table):
+    """However often a change is joined, its rows are computed once: the check and the commit can't see different ones."""
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        n.add(1)
+        return i
+
+    def computed(change, *rows):
+        before = n.value
+        change(people(spark, *rows).withColumn("id", F.udf(seen, "long")("id")))
+        return n.value - before
+
+    assert computed(table.insert, (1, "a", 1), (2, "b", 2), (3, "c", 3)) == 3
+    assert computed(table.update, (1, "d", 4), (2, "e", 5)) == 2
+    assert computed(table.upsert, (2, "f", 6), (4, "g", 7)) == 2
+    assert computed(table.insert, (5, "h", 8)) == 1
+    assert computed(table.remove, (3, "", 0), (5, "", 0)) == 2
+    assert state(table) == {1: ("d", 4), 2: ("f", 6), 4: ("g", 7)}
+    assert {r.id: r._version for r in table.head().collect()} == {1: 2, 2: 3, 4: 1}
+
+
+def test_refused_changes_leave_nothing(spark, table):
+    import os
+
+    table.insert(people(spark, (1, "a", 1)))
+    for change, rows, error in (
+        (table.insert, [(1, "b", 2), (2, "b", 2)], CellAlreadyExisted), (table.insert, [(3, "b", 2), (3, "c", 2)], CellAlreadyExisted), (table.update, [(1, "b", 2), (4, "b", 2), (None, "c", 3)], CellDoesNotExist),
+        (table.remove, [(1, "", 0), (4, "", 0)], CellDoesNotExist)):
+        with pytest.raises(error) as refused:
+            change(people(spark, *rows))
+        assert set(refused.value.keys) == {CellAlreadyExisted: {rows[0][0]}, CellDoesNotExist: {r[0] for r in rows} - {1}}[error]
+    assert state(table) == {1: ("a", 1)} and table.version() == 1
+    assert len(os.listdir(f"{table.path}/data")) == 1 and not any(files for _, _, files in os.walk(f"{table.path}/staged"))
+
+
+def test_large_sides_are_joined_once(spark):
+    """Only keys that may be broadcast narrow the table first; large ones would be computed and sorted twice in one task."""
+    from cellwright.operators.kv import insert_if_absent, update_existing
+
+    table, small, large = spark.range(1 << 21), spark.range(5, 15), spark.range(10, (1 << 21) + 7)
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    for join in (update_existing, insert_if_absent):
+        assert (reads(join(table, small, "id")), reads(join(table, large, "id"))) == (3, 2)
+    assert (update_existing(table, small, "id").count(), update_existing(table, large, "id").count()) == (10, (1 << 21) - 10)
+    assert (insert_if_absent(table, small, "id").count(), insert_if_absent(table, large, "id").count()) == (0, 7)
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["put", "remove"]), st.integers(0, 4), st.integers(0, 99)), min_size=1, max_size=20))
 def test_latest_matches_a_dictionary(spark, ops):
